@@ -1,4 +1,4 @@
-"""The queries opN_<name> and pipeline, each over its whole table, and their SQL."""
+"""The queries opN_<name>, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,16 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup
+from . import ann, decontam, licenses, neardup, packing, sharding, urls
+
+SHARD_NAMES = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARD_NAMES)
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_minhash": op5_minhash}
-SQL: dict[str, str] = {}
+def op8_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_sharding, op2_licenses, op4_urls, op5_minhash, op8_additive, op9_packing, op10_decontam)
+}
+SQL: dict[str, str] = {"op1_sharding": sharding.sql(SHARD_NAMES), "op2_licenses": licenses.sql(), "op4_urls": urls.SQL}
