@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, licenses, neardup, packing, sharding, urls
+from . import ann, decontam, licenses, lines, neardup, packing, quality, sharding, toxicity, urls
 
 SHARD_NAMES = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
 
@@ -29,6 +29,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.decisions(table(spark, sf_dir, "documents"))
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -37,6 +41,14 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -50,6 +62,6 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_licenses, op4_urls, op5_minhash, op8_additive, op9_packing, op10_decontam)
+    f.__name__: f for f in (op1_sharding, op2_licenses, op3_lines, op4_urls, op5_minhash, op6_toxicity, op7_quality, op8_additive, op9_packing, op10_decontam)
 }
 SQL: dict[str, str] = {"op1_sharding": sharding.sql(SHARD_NAMES), "op2_licenses": licenses.sql(), "op4_urls": urls.SQL}
