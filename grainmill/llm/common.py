@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A Bloom prefilter has at most so many bits (1 MB); beyond that the exact join runs alone.
-BLOOM_BITS = 1 << 23
+#: A Bloom prefilter has at most so many 64-bit words (1 MB, for half a million keys); beyond that the exact join runs alone.
+SIEVE_WORDS = 1 << 17
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,39 +48,31 @@ def folded(values: list[int]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
 
-def _positions(key: Column, bits: int) -> list[Column]:
-    a = F.xxhash64(key)
-    b = F.xxhash64(F.lit(7), key)
-    return [F.pmod(x, F.lit(bits)) for x in (a, b, F.shiftrightunsigned(a, 2) + F.shiftrightunsigned(b, 2))]
+def _mask(key: Column) -> Column:
+    h = F.xxhash64(F.lit(9), key)
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, s).bitwiseAND(F.lit(63)).cast("int")) for s in (0, 6, 12, 18)]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
 
 
-def bloom(keys: DataFrame, n: int) -> "callable | None":
-    """A predicate on Columns that holds for every value of keys' only column and for about
-    2 % of the others; None where n keys would need more than BLOOM_BITS.
+def sieve(keys: DataFrame, n: int) -> Callable[[DataFrame, Column], DataFrame] | None:
+    """A Bloom filter of keys' only column, of which there are n, as a table of 64-bit words; None where more than SIEVE_WORDS
+    words would be needed.
 
-    The bits are gathered by a partially aggregated bit_or, so the driver gets at most
-    BLOOM_BITS / 64 words whatever the size of keys.
+    It gives a frame the column _hit: true for every value of keys and for a few per cent of the others, false
+    for null. A key's four bits are in one word, so a test is one lookup in the broadcast table, whose size is bounded whatever n is.
     """
-    bits = 1 << max(10, (10 * max(n, 1)).bit_length())
-    if bits > BLOOM_BITS:
+    words = 1 << max(4, (n // 4).bit_length())
+    if words > SIEVE_WORDS:
         return None
+
+    def word(key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(7), key), F.lit(words))
+
     column = F.col(keys.columns[0])
-    words = (
-        keys.where(column.isNotNull())
-        .select(F.explode(F.array(*_positions(column, bits))).alias("p"))
-        .groupBy(F.shiftright("p", 6).alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
-        .collect()
-    )
-    table = [0] * (bits // 64)
-    for w, b in words:
-        table[w] = b
-    literal = folded(table)
-
-    def test(key: Column) -> Column:
-        hit = F.lit(True)
-        for p in _positions(key, bits):
-            hit = hit & (F.getbit(F.element_at(literal, (F.shiftright(p, 6) + 1).cast("int")), (p.bitwiseAND(F.lit(63))).cast("int")) == 1)
-        return hit
-
-    return test
+    table = cut(keys.where(column.isNotNull()).select(word(column).alias("_w"), _mask(column).alias("_m")).groupBy("_w").agg(F.bit_or("_m").alias("_m")), "sieve")
+
+    def flag(df: DataFrame, key: Column) -> DataFrame:
+        hit = F.coalesce(F.col("_m").bitwiseAND(_mask(key)) == _mask(key), F.lit(False))
+        return df.withColumn("_word", word(key)).join(F.broadcast(table.withColumnRenamed("_w", "_word")), "_word", "left").withColumn("_hit", hit).drop("_word", "_m")
+
+    return flag

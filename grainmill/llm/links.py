@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, cut, drop
+from .common import cut, drop, sieve
 from .components import components
 
 
@@ -18,68 +18,77 @@ def shared_keys(bands: DataFrame) -> DataFrame:
     Bloom filter, rows with a key of their own don't reach the second shuffle.
     """
     multi = cut(bands.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "keys")
-    may = bloom(multi.select("key"), multi.count())
-    rows = bands if may is None else bands.where(may(F.col("key")))
+    may = sieve(multi.select("key"), multi.count())
+    rows = bands if may is None else may(bands, F.col("key")).where("_hit").drop("_hit")
     return cut(rows.join(multi, "key"), "members")
 
 
-def group(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 80, rest_factor: int = 4, rounds: int = 8) -> DataFrame:
+def group(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 80, pivots: int = 1) -> DataFrame:
     """(id, component) of the ids linked at a Jaccard similarity of percent or more.
 
     members: (key, id, n, m), n the size of the id's set and m that of the bucket. sets_of:
     from a one-column table of ids to (id, s), s the whole set as an array without repeats.
 
-    Each round compares every bucket's members with one centre (the member that shares most
-    buckets), then drops the centre, as its links in the bucket are all known, and every bucket
-    whose members one component holds. That is linear in the bucket. When the pairs left
-    between different components are at most rest_factor times the members, or after so many
-    rounds, those pairs are compared one by one: no pair of candidates between components is
-    left out. Sizes that rule a pair out are used first.
+    First, in pivots rounds, every bucket's members are compared with one of them: in the first round the one that shares most
+    buckets, then one by hash, another in each bucket. That is linear in the bucket and links a group of near copies nearly whole. The pivot then leaves the bucket, as
+    its links there are all known, and a bucket leaves whose members one component holds. Of the pairs left
+    between different components, those are compared that three exact bounds allow: the sizes; the elements that a
+    set has for itself alone, which no other set can share; and the distances to the pivots, as Jaccard
+    distance is a metric and two sets whose distances to a pivot differ by more than the limit are no pair.
+    No pair of candidates between components is left out otherwise.
     """
+    far = 1 - percent / 100 + 1e-9
     ids = cut(members.select("id").distinct(), "ids")
     sets = cut(sets_of(ids), "sets")
+    alone = sets.select("id", F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
+    degree = members.groupBy("id").agg(F.sum("m").alias("deg"), F.max("n").alias("n")).join(alone, "id", "left").select("id", "deg", (F.col("n") - F.coalesce("u", F.lit(0))).alias("e"), "n")
+    degree = degree.where(f"100 * e >= {percent} * n").drop("n")
+    live = cut(members.select("key", "id", "n").join(degree, "id").withColumn("c", F.col("id")), "live")
     links, owner = None, None
-    live = members.select("key", "id", "n", F.sum("m").over(_by("id")).alias("deg"), F.col("id").alias("c"))
-    live = cut(live, "live")
-    for k in range(rounds + 1):
-        per = live.groupBy("key", "c").agg(F.count(F.lit(1)).alias("x")).groupBy("key").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count(F.lit(1)).alias("cs")).where("cs > 1")
-        total, pairs = per.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
-        if not total:
+    for k in range(pivots + 1):
+        order = F.xxhash64("key", "id", F.lit(k)) if k else F.col("deg")
+        spread = cut(live.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max(F.struct(order, (-F.col("id")).alias("i"), "n", "c")).alias("z")).where("c0 < c1"), "spread")
+        pivot = spread.select("key", (-F.col("z.i")).alias("p"), F.col("z.n").alias("pn"), F.col("z.c").alias("pc"))
+        own = live.join(pivot, "key")
+        if k == pivots:
+            both = F.least("e", "e_")
+            near = 100 * both >= percent * (F.col("n") + F.col("n_") - both)
+            for j in range(pivots):
+                near = near & (F.col(f"lo{j}") - F.col(f"hi{j}_") <= far) & (F.col(f"lo{j}_") - F.col(f"hi{j}") <= far)
+            one = live.join(spread.select("key"), "key").drop("deg")
+            keys = one.groupBy("id").agg(F.collect_set("key").alias("ks"))
+            one = cut(one.join(keys, "id").join(sets, "id"), "open")
+            other = one.select(F.col("key").alias("key_"), *(F.col(x).alias(f"{x}_") for x in one.columns if x != "key"))
+            # a pair is judged in the least bucket that both are in, by their whole sets
+            first = F.array_min(F.array_intersect("ks", "ks_")) == F.col("key")
+            i = F.size(F.array_intersect("s", "s_"))
+            alike = 100 * i >= percent * (F.size("s") + F.size("s_") - i)
+            size = 100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")
+            linked = cut(one.join(other, (F.col("key") == F.col("key_")) & (F.col("c") < F.col("c_")) & size & near & first & alike).select(F.col("id").alias("a"), F.col("id_").alias("b")), "rest")
+            links = linked if links is None else links.unionByName(linked)
+            drop(one)
             break
-        last = pairs <= rest_factor * total or k == rounds
-        if last:
-            open_ = live.join(per.select("key"), "key")
-            b = open_.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            cand = open_.withColumnRenamed("id", "a").join(b, "key").where("c < cb")
-        else:
-            centre = live.groupBy("key").agg(F.max(F.struct("deg", (-F.col("id")).alias("i"), "n", "c")).alias("z")).select("key", (-F.col("z.i")).alias("b"), F.col("z.n").alias("nb"), F.col("z.c").alias("cb"))
-            cand = live.withColumnRenamed("id", "a").join(centre.join(per.select("key"), "key"), "key").where("c <> cb")
-        cand = cand.where(f"100 * least(n, nb) >= {percent} * greatest(n, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = cut(verified(cand, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
+        pairs = own.where("c <> pc").select(F.col("id").alias("a"), F.col("p").alias("b"), F.col("n").alias("na"), F.col("pn").alias("nb"))
+        pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = cut(overlaps(pairs, sets), "overlaps")
+        linked = found.where(f"100 * i >= {percent} * (na + nb - i)").select("a", "b")
+        links = linked if links is None else links.unionByName(linked)
         if owner is not None:
             drop(owner)
         owner = cut(components(links), "owner")
-        if last:
-            break
+        seen = found.select("a", "b", (1 - F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("d"))
+        rest = own.where("id <> p").withColumn("a", F.least("id", "p")).withColumn("b", F.greatest("id", "p")).join(seen, ["a", "b"], "left")
+        known = F.when(F.col("c") == F.col("pc"), F.lit(0.0)).otherwise(1 - F.least("n", "pn") / F.greatest("n", "pn"))
+        rest = rest.withColumn(f"lo{k}", F.coalesce("d", known)).withColumn(f"hi{k}", F.coalesce("d", F.lit(1.0)))
         old = live
-        live = live.join(centre.select("key", F.col("b").alias("centre")), "key").where("id <> centre").select("key", "id", "n", "deg").join(owner.select("id", "component"), "id", "left")
-        live = cut(live.select("key", "id", "n", "deg", F.coalesce("component", "id").alias("c")), "live")
-        drop(old)
+        live = cut(rest.join(owner.select("id", "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).select("key", "id", "n", "e", "deg", "c", *(f"{x}{j}" for j in range(k + 1) for x in ("lo", "hi"))), "live")
+        drop(old, spread)
+    owner = cut(components(links), "owner")
     drop(sets, ids, live)
-    if owner is None:
-        return members.select("id", F.col("id").alias("component")).where("false")
     return owner
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their whole sets, na and nb, and of what both hold, i."""
     left, right = (sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-
-
-def _by(c: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(c)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("i"))

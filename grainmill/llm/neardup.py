@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import bloom, cut, drop
+from .common import cut, drop, sieve
 from .links import group, shared_keys
 
 #: 75 permutations give 150 values, 30 bands of 5: a pair at similarity 0.8 is missed by all bands once in 150,000 times.
@@ -91,8 +91,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     members = shared_keys(reps.select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("n")))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        may = bloom(ids, ids.count())
-        some = docs if may is None else docs.where(may(F.col("doc_id")))
+        may = sieve(ids, ids.count())
+        some = docs if may is None else may(docs, F.col("doc_id")).where("_hit").drop("_hit")
         some = some.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
         return some.mapInArrow(_sets(shingle_words), "id long, s array<long>").dropDuplicates(["id"])
 
