@@ -13,21 +13,22 @@ from . import text as T
 from .common import cut, drop
 
 #: Hash buckets of each view's features.
-TEXT, META = 1 << 15, 1 << 10
-#: Labelled documents that calibrate (a fifth of them, by a hash of the id) are collected up to this number.
-CHECK = 20_000
+TEXT, META = 1 << 14, 1 << 10
+#: At most so many labelled rows are used, the smallest by a hash of their id; a fifth of them calibrates.
+SAMPLE = 30_000
 #: Rounds of exchange, and how right the pseudo-labels must be on the calibrating documents.
 ROUNDS, PRECISION = 2, 0.97
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct buckets of each document: of the words and their last three bytes; of language, source and sizes."""
+    """Distinct buckets of each document: of the words, their last two bytes and marks of its style; of language, source and sizes."""
     for batch in batches:
         for i, j, data, offsets in T.slices(batch.column("text")):
             part = batch.slice(i, j - i)
-            w = T.Words(data, offsets, T.SPACE, suffix=3)
+            w = T.Words(data, offsets, T.SPACE, suffix=2)
             a = (w.h % np.uint64(TEXT // 2)).astype(np.uint16)
             b = (w.suffix % np.uint64(TEXT // 2)).astype(np.uint16) + np.uint16(TEXT // 2)
+            upper = np.add.reduceat(np.append((data >= 65) & (data <= 90), False).astype(np.int64), np.minimum(offsets[:-1], len(data)))
             lines = np.add.reduceat(np.append(data == 10, False).astype(np.int64), np.minimum(offsets[:-1], len(data)))
             lines[offsets[:-1] == offsets[1:]] = 0
             words = np.diff(w.at)
@@ -40,11 +41,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [f"line={int(x).bit_length()}" for x in words // (lines + 1)],
                 [f"word={min(int(x), 30)}" for x in size // np.maximum(words, 1)],
             ]
-            t = [np.unique(np.concatenate([a[x:y], b[x:y]])).tobytes() for x, y in zip(w.at, w.at[1:])]
+            t = []
+            for x, y, up, n in zip(w.at, w.at[1:], upper, size):
+                kinds = len(np.unique(w.h[x:y]))
+                # how often words repeat, and how much is in capitals, each in tenths, beside the words themselves
+                style = [_style(f"repeat={10 * kinds // max(int(y - x), 1)}"), _style(f"capitals={10 * int(up) // max(int(n), 1)}")]
+                t.append(np.unique(np.concatenate([a[x:y], b[x:y], np.array(style, np.uint16)])).tobytes())
             m = [np.unique(np.array([_bucket(x) for x in row], np.uint16)).tobytes() for row in zip(*metas)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(t, pa.binary()), pa.array(m, pa.binary())], ["doc_id", "t", "m"])
 
 
+def _style(x: str) -> int:
+    import zlib
+
+    return TEXT // 2 + zlib.crc32(x.encode()) % (TEXT // 2)
+
+
 def _bucket(x: str) -> int:
     import zlib
 
@@ -100,17 +112,18 @@ def score(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame
     id are scored and never labelled; repeated rows are scored alike; other columns are ignored. Without labels of both
     classes every score is the share of the class there is, or 0.5. An empty table gives an empty result.
 
-    One scan makes the features, which a table keeps. All labelled rows but a fifth count, wherever they are; in each round
-    both views judge all unlabelled rows, and what one is sure of counts for the other. Only sums by bucket, of a fixed number,
-    and at most CHECK calibrating rows reach the driver.
+    One scan makes the features, which a table keeps. SAMPLE labelled rows at most are used, of which a fifth calibrates; in each round
+    both views judge all other rows, and what one is sure of counts for the other. Only sums by bucket, of a fixed number,
+    and the calibrating rows reach the driver; nothing but those sums is shuffled.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")), F.col("n_chars").cast("long").alias("n_chars"))
-    made = cut(base.mapInArrow(_features, "doc_id long, t binary, m binary"), "features")
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    check = F.crc32(F.concat(F.lit("check"), F.col("doc_id").cast("string"))) % 5 == 0
-    known = cut(made.join(marks, "doc_id").withColumn("check", check), "known")
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
+    marks = cut(marks.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE), "marks").groupBy("doc_id").agg(F.max("y").alias("y"))
+    made = base.mapInArrow(_features, "doc_id long, t binary, m binary")
+    made = cut(made.join(F.broadcast(marks), "doc_id", "left").withColumn("check", F.crc32(F.concat(F.lit("check"), F.col("doc_id").cast("string"))) % 5 == 0), "features")
+    known = made.where("y is not null")
     fit = _sums(known.where("not check"), None)
-    rows = known.where("check").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CHECK).select("t", "m", "y").collect()
+    rows = known.where("check").orderBy("doc_id", "t", "m").select("t", "m", "y").collect()
     y = np.array([r.y for r in rows], float)
     docs_n = fit[2]
     if min(docs_n) < 1 or len(rows) < 10 or len(set(y)) < 2:
@@ -119,7 +132,7 @@ def score(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame
         return made.select("doc_id", *(F.lit(p).alias(c) for c in ("text_score", "meta_score", "score")), F.lit(int(p >= 0.5)).alias("predicted"))
     ct, cm = [r.t for r in rows], [r.m for r in rows]
     text, meta = View(fit[0], docs_n), View(fit[1], docs_n)
-    rest = made.join(marks.select("doc_id"), "doc_id", "left_anti")
+    rest = made.where("y is null")
     for _ in range(rounds):
         judge = (text, meta, _limits(text.say(ct), y), _limits(meta.say(cm), y))
         more = _sums(rest, docs.sparkSession.sparkContext.broadcast(judge))
