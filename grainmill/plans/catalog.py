@@ -1,10 +1,534 @@
-"""The queries of the engine's own operators and their SQL."""
+"""The queries of the engine's own operators and their SQL in DuckDB's dialect."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import corpus, monitor, packing, runs, scoring
+from ..sources import corpus as source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+SIZE, WORLD = 64, 4
+BLANK = r"[^\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt over all cores: one large file is one task otherwise, and tokenizing is what costs."""
+    return t(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.tokenized(docs(spark, sf_dir))
+
+
+def text_of(a) -> "F.Column":
+    return F.md5(F.array_join(a, " "))
+
+
+D = r"""d AS (SELECT doc_id, list_append(list_filter(regexp_split_to_array(text, '[^a-zA-Z0-9]+'), lambda x: x <> ''), '<eos>') AS ids FROM documents),
+e AS (SELECT doc_id, ids, len(ids) AS n, CAST(sum(len(ids)) OVER (ORDER BY doc_id) - len(ids) AS BIGINT) AS off FROM d WHERE len(ids) > 1)"""
+K = D + f""",
+k AS (SELECT doc_id, off + generate_subscripts(ids, 1) - 1 AS pos, unnest(ids) AS tok FROM e),
+j AS (SELECT pos // {SIZE} AS block, * FROM k UNION ALL SELECT pos // {SIZE} - 1, * FROM k WHERE pos % {SIZE} = 0 AND pos > 0),
+b AS (SELECT block, count(DISTINCT doc_id) AS docs, string_agg(tok, ' ' ORDER BY pos) AS w,
+  string_agg(tok, ' ' ORDER BY pos) FILTER (pos < (block + 1) * {SIZE}) AS x, string_agg(tok, ' ' ORDER BY pos) FILTER (pos > block * {SIZE}) AS y
+  FROM j GROUP BY block HAVING count(*) = {SIZE + 1})"""
+
+
+# scans and filters
+
+
+@query("SELECT count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
+def scan_documents(spark, d):
+    return t(spark, d, "documents").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT 0 AS shard, doc_id + 1 AS row, md5(text) AS digest FROM documents")
+def records_with_cursor(spark, d):
+    return source.records(spark, [f"{d}/documents.parquet"]).select("shard", "row", F.md5("text").alias("digest"))
+
+
+@query("SELECT 0 AS shard, doc_id + 1 AS row, md5(text) AS digest FROM documents WHERE doc_id + 1 > 500")
+def resume_scan(spark, d):
+    return source.records(spark, [f"{d}/documents.parquet"], (0, 500)).select("shard", "row", F.md5("text").alias("digest"))
+
+
+@query("SELECT md5(text) AS digest FROM documents")
+def texts(spark, d):
+    return source.records(spark, [f"{d}/documents.parquet"]).select(F.md5("text").alias("digest"))
+
+
+@query()
+def scan_snapshot(spark, d):
+    names = [n.rsplit("/", 1)[-1] for n in source.files(spark, d)]
+    return spark.createDataFrame([(n,) for n in names], "name string")
+
+
+@query()
+def select_split(spark, d):
+    names = source.shards([f"data/{s}-{k}.parquet" for s in ("train", "validation") for k in (2, 0, 1)], "train")
+    return spark.createDataFrame([(n,) for n in names], "name string")
+
+
+@query("SELECT k FROM (VALUES (0, ' '), (1, 'a'), (2, chr(160)), (3, ''), (4, NULL), (5, chr(8203)), (6, chr(12288)), (7, ' x ')) v(k, s) WHERE regexp_matches(s, '" + BLANK + "')")
+def filter_blank(spark, d):
+    rows = [(0, " "), (1, "a"), (2, " "), (3, ""), (4, None), (5, "​"), (6, "　"), (7, " x ")]
+    return spark.createDataFrame(rows, "k int, s string").where(C.not_blank(F.col("s"))).select("k")
+
+
+# tokens, offsets, blocks
+
+
+@query(f"WITH {D} SELECT doc_id, n - 1 AS words, md5(array_to_string(ids, ' ')) AS digest FROM e")
+def tokenize_words(spark, d):
+    return tokens(spark, d).select("doc_id", (F.size("ids") - 1).cast("long").alias("words"), text_of("ids").alias("digest"))
+
+
+@query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n, md5(array_to_string(list_transform(range(1, octet_length(encode(text)) + 1), lambda i: CAST(('0x' || substr(hex(encode(text)), 2 * i - 1, 2)) AS INTEGER)), ' ')) AS digest FROM documents WHERE doc_id < 100")
+def tokenize_bytes(spark, d):
+    ids = t(spark, d, "documents").repartition("doc_id").select("doc_id", C.byte_ids(F.col("text")).alias("ids"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("digest"))
+
+
+SQL["tokenize_bytes"] = SQL["tokenize_bytes"].replace(" WHERE doc_id < 100", "")
+
+
+@query()
+def tokenize_bpe(spark, d):
+    merges = corpus.learn_merges(t(spark, d, "documents"), 8, lambda x: x.persist())
+    s = corpus.symbols(F.col("word"))
+    for a, b in merges:
+        s = corpus.merged(s, a, b)
+    return corpus.word_counts(t(spark, d, "documents")).select("word", F.array_join(s, " ").alias("pieces"), "n")
+
+
+@query("SELECT k, CASE WHEN len(ids) = 0 OR ids[-1] = 99 THEN ids ELSE list_append(ids, 99) END AS ids FROM (VALUES (0, [1, 2, 3, 99]), (1, [4, 5, 6]), (2, []::INTEGER[])) v(k, ids)")
+def append_eos(spark, d):
+    rows = spark.createDataFrame([(0, [1, 2, 3, 99]), (1, [4, 5, 6]), (2, [])], "k int, ids array<int>")
+    return rows.select("k", C.with_eos(F.col("ids"), F.lit(99)).alias("ids"))
+
+
+@query(f"WITH {D} SELECT doc_id, CAST(n AS BIGINT) AS n, off FROM e")
+def token_offsets(spark, d):
+    return packing.offsets(tokens(spark, d))
+
+
+@query(f"WITH {K} SELECT block, md5(x) AS x, md5(y) AS y FROM b")
+def pack_blocks(spark, d):
+    out = packing.pairs(packing.blocks(tokens(spark, d), SIZE), SIZE)
+    return out.select("block", text_of("x").alias("x"), text_of("y").alias("y"))
+
+
+@query(f"WITH {K}, m AS (SELECT block, string_split(x, ' ') AS x, string_split(y, ' ') AS y FROM b) SELECT block, CAST(r AS INTEGER) AS row, array_to_string(x[r * 16 + 1 : r * 16 + 16], ' ') AS x, array_to_string(y[r * 16 + 1 : r * 16 + 16], ' ') AS y FROM m, range(4) q(r)")
+def pack_xy(spark, d):
+    p = packing.pairs(packing.blocks(tokens(spark, d), SIZE), SIZE)
+    rows = F.arrays_zip(packing.matrix(F.col("x"), 4, 16).alias("x"), packing.matrix(F.col("y"), 4, 16).alias("y"))
+    return p.select("block", F.posexplode(rows).alias("row", "z")).select("block", "row", F.array_join("z.x", " ").alias("x"), F.array_join("z.y", " ").alias("y"))
+
+
+@query(f"WITH {K} SELECT CAST(block % {WORLD} AS INTEGER) AS rank, count(*) AS blocks, min(block) AS first, max(block) AS last FROM b GROUP BY 1")
+def rank_partition(spark, d):
+    b = packing.blocks(tokens(spark, d), SIZE)
+    return b.groupBy(F.pmod("block", F.lit(WORLD)).cast("int").alias("rank")).agg(F.count(F.lit(1)).alias("blocks"), F.min("block").alias("first"), F.max("block").alias("last"))
+
+
+@query(f"WITH {D} SELECT CAST(50 AS INTEGER) AS next_block, doc_id, 50 * {SIZE} - off AS pending_from FROM e WHERE off <= 50 * {SIZE} AND off + n > 50 * {SIZE}")
+def loader_state(spark, d):
+    return packing.position(tokens(spark, d), SIZE, 50)
+
+
+@query(f"WITH {D}, n AS (SELECT (sum(n) - 1) // {SIZE} AS blocks FROM e), q AS (SELECT rank, batch, (blocks - rank + {WORLD - 1}) // {WORLD} AS own FROM n, range({WORLD}) r(rank), range(0, 8000, 100) b(batch)) SELECT CAST(rank AS INTEGER) AS rank, batch, CAST(batch // own AS BIGINT) AS epoch, CAST(batch % own * {WORLD} + rank AS BIGINT) AS block FROM q")
+def epoch_schedule(spark, d):
+    n = tokens(spark, d).agg(F.sum(F.size("ids")).alias("n")).first().n
+    out = None
+    for r in range(WORLD):
+        one = packing.epochs((n - 1) // SIZE, WORLD, r, spark.range(0, 8000, 100).withColumnRenamed("id", "batch")).withColumn("rank", F.lit(r))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {K} SELECT block, md5(w) AS w FROM b WHERE block < 20 * {WORLD}")
+def validation_window(spark, d):
+    return packing.blocks(tokens(spark, d), SIZE).where(F.col("block") < 20 * WORLD).select("block", text_of("w").alias("w"))
+
+
+@query(f"WITH {K} SELECT docs, count(*) AS blocks FROM b GROUP BY docs")
+def docs_per_block(spark, d):
+    return packing.blocks(tokens(spark, d), SIZE).groupBy(F.col("docs").cast("long").alias("docs")).agg(F.count(F.lit(1)).alias("blocks"))
+
+
+SPLIT = "CASE WHEN ('0x' || substr(md5(source), 1, 8))::BIGINT % 100 < 90 THEN 'train' WHEN ('0x' || substr(md5(source), 1, 8))::BIGINT % 100 < 95 THEN 'validation' ELSE 'test' END"
+
+
+@query(f"WITH {D} SELECT {SPLIT} AS split, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens, CAST((sum(n) - 1) // {SIZE} AS BIGINT) AS blocks FROM e JOIN documents USING (doc_id) GROUP BY 1")
+def pack_by_split(spark, d):
+    s = t(spark, d, "documents").select("doc_id", C.split_of(F.col("source")).alias("split"))
+    one = tokens(spark, d).select("doc_id", F.size("ids").alias("n")).join(s, "doc_id").groupBy("split").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))
+    return one.withColumn("blocks", F.expr(f"(tokens - 1) div {SIZE}"))
+
+
+# scoring: embeddings as logits, labels as targets
+
+
+def logits(spark, d) -> DataFrame:
+    return scoring.losses(t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("logits"), F.col("label").alias("target")))
+
+
+L = "l AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), m AS (SELECT *, list_max(v) AS top FROM l), z AS (SELECT *, ln(list_sum(list_transform(v, lambda x: exp(x - top)))) + top AS lse FROM m), s AS (SELECT *, lse - v[label + 1] AS loss FROM z)"
+
+
+@query(f"WITH {L} SELECT vec_id, round(loss, 6) AS loss FROM s")
+def cross_entropy(spark, d):
+    return logits(spark, d).select("vec_id", F.round("loss", 6).alias("loss"))
+
+
+@query(f"WITH {L} SELECT vec_id, round(list_sum(list_transform(v, lambda x: exp(x - lse))), 6) AS total, round(list_max(list_transform(v, lambda x: exp(x - lse))), 6) AS top FROM s")
+def softmax(spark, d):
+    p = C.softmax(F.col("logits"))
+    return logits(spark, d).select("vec_id", F.round(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.array_max(p), 6).alias("top"))
+
+
+@query(f"WITH {L}, b AS (SELECT vec_id // 20 AS batch, avg(loss) AS loss FROM s GROUP BY 1), r AS (SELECT batch % {WORLD} AS rank, avg(loss) AS loss FROM b GROUP BY 1) SELECT round(avg(loss), 8) AS loss, round(exp(least(avg(loss), 80)), 6) AS perplexity FROM r")
+def validation_loss(spark, d):
+    b = logits(spark, d).groupBy(F.expr("vec_id div 20").alias("batch")).agg(F.avg("loss").alias("loss"))
+    r = b.groupBy(F.col("batch") % WORLD).agg(F.avg("loss").alias("loss")).agg(F.avg("loss").alias("l"))
+    return r.select(F.round("l", 8).alias("loss"), F.round(C.perplexity(F.col("l")), 6).alias("perplexity"))
+
+
+@query(f"WITH {L} SELECT vec_id, round(exp(least(30 * loss, 80)), 4) AS perplexity FROM s WHERE 30 * loss < 20 OR 30 * loss > 80")
+def perplexity(spark, d):
+    return logits(spark, d).where("30 * loss < 20 or 30 * loss > 80").select("vec_id", F.round(C.perplexity(30 * F.col("loss")), 4).alias("perplexity"))
+
+
+@query(f"WITH {L} SELECT vec_id // 3 AS item, round(sum(CASE WHEN vec_id % 2 = 1 THEN loss END) / sum(CASE WHEN vec_id % 2 = 1 THEN 1 END), 6) AS loss FROM s GROUP BY 1")
+def completion_loss(spark, d):
+    return logits(spark, d).groupBy(F.expr("vec_id div 3").alias("item")).agg(F.round(scoring.masked_mean(F.col("loss"), F.col("vec_id") % 2), 6).alias("loss"))
+
+
+CHOICES = f"{L}, c AS (SELECT vec_id // 3 AS item, vec_id % 3 AS choice, loss FROM s), n AS (SELECT item, min(loss) AS low FROM c GROUP BY item), w AS (SELECT item, CASE WHEN count(*) = 1 THEN min(choice) ELSE -1 END AS choice FROM c JOIN n USING (item) WHERE loss = low GROUP BY item)"
+
+
+def chosen(spark, d) -> DataFrame:
+    return scoring.choose(logits(spark, d).select(F.expr("vec_id div 3").alias("item"), (F.col("vec_id") % 3).alias("choice"), "loss"))
+
+
+@query(f"WITH {CHOICES} SELECT item, CAST(choice AS BIGINT) AS choice FROM w")
+def most_likely_choice(spark, d):
+    return chosen(spark, d).select("item", F.col("choice").cast("long").alias("choice"))
+
+
+@query(f"WITH {CHOICES} SELECT round(avg(CASE WHEN choice = 0 THEN 1.0 ELSE 0.0 END), 8) AS accuracy FROM w")
+def comprehension_accuracy(spark, d):
+    return chosen(spark, d).agg(F.round(F.avg((F.col("choice") == 0).cast("double")), 8).alias("accuracy"))
+
+
+@query(f"WITH {L}, u AS (SELECT vec_id // 100 AS update_, vec_id % 100 // 10 AS micro, avg(loss) AS loss FROM s GROUP BY ALL) SELECT update_ AS step, round(sum(loss / 10), 8) AS loss FROM u GROUP BY 1")
+def grad_accum_mean(spark, d):
+    micro = logits(spark, d).groupBy(F.expr("vec_id div 100").alias("step"), F.expr("vec_id % 100 div 10").alias("micro")).agg(F.avg("loss").alias("loss"))
+    return micro.groupBy("step").agg(F.round(F.sum(F.col("loss") / 10), 8).alias("loss"))
+
+
+@query(f"WITH {L} SELECT vec_id, round(least(1.0, 1.0 / (sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-6)), 8) AS scale FROM l")
+def clip_norm(spark, d):
+    return logits(spark, d).select("vec_id", F.round(scoring.clip_scale(F.col("logits")), 8).alias("scale"))
+
+
+TOP = f"{L}, p AS (SELECT vec_id, i - 1 AS id, exp(v[i] - lse) AS p FROM z, range(1, 65) r(i)), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, id) - 1 AS pos FROM p QUALIFY pos < 50)"
+
+
+@query(f"WITH {TOP} SELECT vec_id, CAST(pos AS INTEGER) AS pos, CAST(id AS INTEGER) AS id, round(p, 8) AS p FROM k")
+def topk_probs(spark, d):
+    return logits(spark, d).select("vec_id", F.posexplode(scoring.top_probabilities(F.col("logits"), 50)).alias("pos", "t")).select("vec_id", "pos", "t.id", F.round("t.p", 8).alias("p"))
+
+
+@query(f"WITH {TOP}, u AS (SELECT *, CAST(('0x' || substr(md5('42:' || vec_id), 1, 8)) AS BIGINT) / 4294967296.0 AS u, sum(p) OVER (PARTITION BY vec_id ORDER BY pos) AS c, sum(p) OVER (PARTITION BY vec_id) AS total FROM k) SELECT vec_id, CAST(min_by(id, pos) AS INTEGER) AS id FROM u WHERE c > u * total GROUP BY vec_id")
+def topk_sample(spark, d):
+    return scoring.sample(logits(spark, d), "vec_id", 50, 42)
+
+
+# monitoring: events as a metrics log
+
+
+def metrics(spark, d) -> DataFrame:
+    e = t(spark, d, "events")
+    name = F.when(F.col("event_id") % 3 == 0, "val").when(F.col("event_id") % 3 == 1, "train").otherwise("perplexity")
+    value = F.when(F.col("event_id") % 3 == 2, 1 + F.col("value") / 100).otherwise(F.col("value") / 100)
+    return e.select(name.alias("metric"), (F.expr("event_id div 3") % 2000).alias("step"), value.alias("value"), F.col("event_id").alias("line_no"))
+
+
+M = "g AS (SELECT CASE event_id % 3 WHEN 0 THEN 'val' WHEN 1 THEN 'train' ELSE 'perplexity' END AS metric, event_id // 3 % 2000 AS step, CASE WHEN event_id % 3 = 2 THEN 1 + value / 100 ELSE value / 100 END AS value, event_id AS line_no FROM events), w AS (SELECT metric, step, max_by(value, line_no) AS value, min(line_no) AS first_line, count(*) - 1 AS duplicates FROM g GROUP BY metric, step)"
+
+
+@query(f"WITH {M} SELECT metric, step, round(value, 8) AS value, first_line, duplicates FROM w")
+def metrics_last_wins(spark, d):
+    return monitor.last_wins(metrics(spark, d)).withColumn("value", F.round("value", 8))
+
+
+@query(f"WITH {M} SELECT metric, count(*) AS records, max(step) AS latest_step, round(max_by(value, step), 8) AS latest_value FROM w GROUP BY metric")
+def metrics_summary(spark, d):
+    return monitor.summary(monitor.last_wins(metrics(spark, d))).withColumn("latest_value", F.round("latest_value", 8))
+
+
+@query(f"WITH {M} SELECT step, round(value, 8) AS value FROM w WHERE metric = 'val' ORDER BY w.value, first_line LIMIT 1")
+def best_step(spark, d):
+    return monitor.best_step(monitor.last_wins(metrics(spark, d))).withColumn("value", F.round("value", 8))
+
+
+@query(f"WITH {M} SELECT metric, step, round(avg(value) OVER (PARTITION BY metric ORDER BY step ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 8) AS mean FROM w")
+def trailing_loss(spark, d):
+    return monitor.trailing(monitor.last_wins(metrics(spark, d))).withColumn("mean", F.round("mean", 8))
+
+
+@query(f"WITH {M} SELECT metric, step, round(value, 8) AS value FROM w WHERE metric = 'train' ORDER BY step")
+def metric_series(spark, d):
+    return monitor.last_wins(metrics(spark, d)).where("metric = 'train'").select("metric", "step", F.round("value", 8).alias("value")).orderBy("step")
+
+
+@query(f"WITH {M}, o AS (SELECT metric, step, value FROM w WHERE NOT (metric = 'perplexity' AND step % 2 = 0)) SELECT metric, step, round(value, 6) AS value FROM o UNION ALL SELECT 'perplexity', step, round(exp(least(value, 80)), 6) FROM o WHERE metric = 'val' AND step NOT IN (SELECT step FROM o WHERE metric = 'perplexity')")
+def perplexity_backfill(spark, d):
+    have = monitor.last_wins(metrics(spark, d)).where("not (metric = 'perplexity' and step % 2 = 0)")
+    return monitor.backfill(have).withColumn("value", F.round("value", 6))
+
+
+LOG = ["0 train 4.0", "1 val 3.0", "1 train 3.5", "2 train 2.5", "", "3 val", "4 other 1", "5 val nan", "6 val inf", "-1 val 2", "7 comprehension_sanity 1.5", "8 comprehension_sanity 0.5", "9 perplexity 0.5", "10 perplexity 2", "11 val 1_000", "12 val 1f", "13 val 1e3", " 14  val\t2 "]
+LOGV = "log(line_no, line) AS (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(LOG)) + ")"
+PARSED = LOGV + r""", f AS (SELECT line_no, regexp_split_to_array(regexp_replace(line, '^\s+|\s+$', '', 'g'), '\s+') AS f FROM log),
+n AS (SELECT line_no, len(f) AS k, CASE WHEN regexp_matches(f[1], '^[0-9]+$') THEN TRY_CAST(f[1] AS BIGINT) END AS step, f[2] AS metric,
+ CASE WHEN regexp_matches(f[3], '^[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(replace(f[3], '_', '') AS DOUBLE) END AS value FROM f),
+st AS (SELECT *, CASE WHEN k <> 3 THEN 'invalid' WHEN metric NOT IN ('train', 'val', 'perplexity', 'comprehension_sanity') THEN 'unknown'
+ WHEN step IS NOT NULL AND value IS NOT NULL AND CASE metric WHEN 'comprehension_sanity' THEN value BETWEEN 0 AND 1 WHEN 'perplexity' THEN value >= 1 ELSE value >= 0 END THEN 'valid' ELSE 'invalid' END AS status FROM n)"""
+
+
+def log(spark) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(LOG)), "line_no int, line string")
+
+
+@query(f"WITH {PARSED} SELECT step, metric, value FROM st WHERE status = 'valid'")
+def metrics_valid(spark, d):
+    return monitor.parse(log(spark)).where("status = 'valid'").select("step", "metric", "value")
+
+
+@query(f"WITH {PARSED} SELECT status, count(*) AS lines FROM st GROUP BY status")
+def metrics_invalid(spark, d):
+    return monitor.parse(log(spark)).groupBy("status").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query()
+def metrics_partial_tail(spark, d):
+    raw = spark.createDataFrame([("\n".join(LOG),)], "value string")
+    return raw.select(F.posexplode(monitor.lines(F.col("value"))).alias("line_no", "line"))
+
+
+@query("SELECT * FROM (VALUES (0, '0 train 4.0'), (1, '1 val 3.0')) v(line_no, line)")
+def prune_log(spark, d):
+    return monitor.prune(log(spark).where("line_no < 5"), 1)
+
+
+@query(f"WITH {M} SELECT line_no, step || ' ' || metric || ' ' || CASE WHEN metric = 'train' THEN printf('%.6f', value) ELSE printf('%.4f', round(value, 4)) END AS line FROM g WHERE metric = 'train'")
+def format_metrics(spark, d):
+    return metrics(spark, d).where("metric = 'train'").select("line_no", monitor.formatted(F.col("step"), F.col("metric"), F.col("value")).alias("line"))
+
+
+# runs
+
+
+@query("SELECT step, round(CASE WHEN step < 715 THEN 6e-4::DOUBLE * (step + 1) / 715 WHEN step > 38146 THEN 6e-5::DOUBLE ELSE 6e-5::DOUBLE + 0.5::DOUBLE * (1 + cos(pi() * ((step - 715) / 37431.0::DOUBLE))) * (6e-4::DOUBLE - 6e-5::DOUBLE) END, 12) AS lr FROM range(0, 38250, 50) r(step)")
+def lr_schedule(spark, d):
+    return spark.range(0, 38250, 50).select(F.col("id").alias("step"), F.round(C.learning_rate(F.col("id")), 12).alias("lr"))
+
+
+@query("SELECT name, CAST(50304 * width + 1024 * width + layers * (12 * width * width + 13 * width) + 2 * width AS INTEGER) AS parameters FROM (VALUES ('small', 6, 384), ('medium', 8, 512), ('gpt2', 12, 768)) v(name, layers, width)")
+def parameter_counts(spark, d):
+    return runs.presets(spark).select("name", runs.parameters(F.col("layers"), F.col("width")).alias("parameters"))
+
+
+@query("SELECT name, layers, heads, width FROM (VALUES ('small', 6, 6, 384), ('medium', 8, 8, 512), ('gpt2', 12, 12, 768)) v(name, layers, heads, width) WHERE layers = 8 AND width = 512")
+def preset_lookup(spark, d):
+    return runs.presets(spark).where("layers = 8 and width = 512")
+
+
+@query("SELECT CAST(w AS BIGINT) AS world, CAST(524288 // (64 * 1024 * w) AS BIGINT) AS accumulate FROM (VALUES (1), (2), (4), (8)) v(w)")
+def batch_plan(spark, d):
+    return spark.createDataFrame([(w, runs.batch_plan(524288, 64, 1024, w)) for w in (1, 2, 4, 8)], "world long, accumulate long")
+
+
+@query("SELECT step, step <> 500 AND (step % 250 = 0 OR step = 10100) AS evaluate, step <> 500 AND step > 0 AND (step % 250 = 0 OR step = 10100) AS sample, step <> 500 AND step > 0 AND (step % 5000 = 0 OR step = 10100) AS checkpoint FROM range(0, 10101) r(step) WHERE (step % 250 = 0 OR step = 10100) AND step <> 500")
+def schedule_events(spark, d):
+    return runs.events(spark.range(10101).withColumnRenamed("id", "step"), 10100, 500)
+
+
+POINTS = [("a/model_00100.pt", 100, "small"), ("b/model_00050.pt", 50, "small"), ("a/model_20000.pt", 20000, "medium"), ("b/model_00100.pt", 100, "small")]
+
+
+@query("SELECT 'a/model_00100.pt' AS path, CAST(100 AS BIGINT) AS step, 'small' AS config")
+def select_checkpoint(spark, d):
+    return runs.newest(spark.createDataFrame(POINTS, "path string, step long, config string"), F.lit("small"))
+
+
+@query("SELECT * FROM (VALUES ('ok1', NULL), ('ok2', NULL), ('cut', 'missing step,val_loss'), ('new', 'version'), ('neg', 'step'), ('half', 'missing rank_states,target_steps,training')) v(path, problem)")
+def validate_checkpoint(spark, d):
+    old = ["model", "config", "step", "val_loss"]
+    rows = [("ok1", old, None, 5), ("ok2", [*old, "optimizer", "rank_states", "training", "target_steps"], 2, 5), ("cut", old[:2], None, 5), ("new", old, 3, 5), ("neg", old, None, -1), ("half", [*old, "optimizer"], 2, 5)]
+    return runs.validated(spark.createDataFrame(rows, "path string, keys array<string>, version int, step long"))
+
+
+@query("SELECT * FROM (VALUES ('T', '1024', '512'), ('gone', 'x', NULL), ('new', NULL, 'y')) v(key, saved, current)")
+def config_diff(spark, d):
+    a, b = [("B", "64"), ("T", "1024"), ("gone", "x")], [("B", "64"), ("T", "512"), ("new", "y")]
+    return runs.config_diff(spark.createDataFrame(a, "key string, value string"), spark.createDataFrame(b, "key string, value string"))
+
+
+@query("SELECT k, coalesce(env, saved, 'default') AS value FROM (VALUES ('a', 'env', 'saved'), ('b', NULL, 'saved'), ('c', NULL, NULL)) v(k, env, saved)")
+def effective_config(spark, d):
+    rows = spark.createDataFrame([("a", "env", "saved"), ("b", None, "saved"), ("c", None, None)], "k string, env string, saved string")
+    return rows.select("k", F.coalesce("env", "saved", F.lit("default")).alias("value"))
+
+
+@query("SELECT 'README.md' AS missing, true AS weights, false AS complete")
+def manifest_check(spark, d):
+    names = ["config.json", "generation_config.json", "training_metadata.json", "model-1.safetensors"]
+    return runs.manifest(spark.createDataFrame([(n,) for n in names], "name string"))
+
+
+@query("SELECT 47 AS n, 50257 AS first, 50303 AS last")
+def suppressed_ids(spark, d):
+    ids = F.sequence(F.lit(50257), F.lit(runs.VOCABULARY - 1))
+    return spark.range(1).select(F.size(ids).alias("n"), F.array_min(ids).alias("first"), F.array_max(ids).alias("last"))
+
+
+@query()
+def export_metadata(spark, d):
+    one = runs.presets(spark).where("name = 'small'").select(F.struct(F.lit(1).alias("format"), "name", runs.parameters(F.col("layers"), F.col("width")).alias("parameters")).alias("m"))
+    return one.select(F.to_json("m").alias("json"))
+
+
+@query("SELECT user_id, round(sum(value) / (epoch(max(ts)) - epoch(min(ts))), 6) AS per_second FROM events GROUP BY user_id HAVING max(ts) > min(ts) AND epoch(max(ts)) - epoch(min(ts)) >= 1")
+def throughput(spark, d):
+    s = F.expr("timestampdiff(MICROSECOND, min(ts), max(ts)) / 1e6")
+    one = t(spark, d, "events").groupBy("user_id").agg(F.sum("value").alias("v"), s.alias("s"))
+    return one.where("s >= 1").select("user_id", F.round(F.col("v") / F.col("s"), 6).alias("per_second"))
+
+
+# corpus
+
+
+@query("SELECT source, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS sha FROM documents GROUP BY source")
+def corpus_hash(spark, d):
+    one = t(spark, d, "documents").select("source", F.struct("doc_id", F.sha2("text", 256).alias("h")).alias("x")).groupBy("source").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return one.select("source", F.sha2(F.array_join(F.col("x.h"), ""), 256).alias("sha"))
+
+
+@query(f"SELECT {SPLIT} AS split, count(*) AS docs, count(DISTINCT source) AS titles, CAST(sum(len(list_filter(regexp_split_to_array(text, '[^a-zA-Z0-9]+'), lambda x: x <> ''))) AS BIGINT) AS words, count(DISTINCT md5(text)) AS unique_texts FROM documents GROUP BY 1")
+def corpus_stats(spark, d):
+    one = t(spark, d, "documents").select(C.split_of(F.col("source")).alias("split"), "source", F.size(C.words(F.col("text"))).alias("n"), F.md5("text").alias("h"))
+    return one.groupBy("split").agg(F.count(F.lit(1)).alias("docs"), F.countDistinct("source").alias("titles"), F.sum("n").alias("words"), F.countDistinct("h").alias("unique_texts"))
+
+
+@query("SELECT lang, source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (lang, source)")
+def corpus_rollup(spark, d):
+    return t(spark, d, "documents").rollup("lang", "source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT doc_id, source AS title, lang, 'v' || substr(md5(text), 1, 8) AS version, source IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AS complete FROM documents")
+def provenance(spark, d):
+    whole = F.col("source").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
+    return t(spark, d, "documents").select("doc_id", F.col("source").alias("title"), "lang", F.concat(F.lit("v"), F.substring(F.md5("text"), 1, 8)).alias("version"), whole.alias("complete"))
+
+
+@query("SELECT doc_id, CASE WHEN quality IS NULL THEN 'quarantine' WHEN quality = 0 OR toxic = 1 THEN 'rejected' ELSE 'accepted' END AS route FROM documents LEFT JOIN labels USING (doc_id)")
+def quarantine(spark, d):
+    both = t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels"), "doc_id", "left")
+    return both.select("doc_id", F.when(F.col("quality").isNull(), "quarantine").when((F.col("quality") == 0) | (F.col("toxic") == 1), "rejected").otherwise("accepted").alias("route"))
+
+
+@query(r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>', ' ', 'g'), '[ \n\t\r]+', ' ', 'g'))) AS digest FROM pages")
+def clean_pages(spark, d):
+    return t(spark, d, "pages").select("page_id", F.md5(corpus.clean_markup(F.col("html"))).alias("digest"))
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(list_distinct(string_split(text, chr(10)))) AS distinct_lines FROM documents")
+def dedup_lines(spark, d):
+    x = F.split("text", "\n", -1)
+    return t(spark, d, "documents").select("doc_id", F.size(x).cast("long").alias("lines"), F.size(F.split(corpus.distinct_lines(F.col("text")), "\n", -1)).cast("long").alias("distinct_lines"))
+
+
+@query("SELECT md5(text) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_dups(spark, d):
+    return corpus.exact_groups(t(spark, d, "documents"))
+
+
+GRAMS = "CASE WHEN len(w) >= {n} THEN list_distinct(list_transform(range(1, len(w) - {m} + 1), lambda i: array_to_string(w[i : i + {m}], ' '))) ELSE [] END".format
+LOWER = "list_filter(regexp_split_to_array(lower(text), '[^a-zA-Z0-9]+'), lambda x: x <> '')"
+
+
+@query(f"WITH o AS (SELECT min(doc_id) AS id, {LOWER} AS w FROM documents GROUP BY text), g AS (SELECT id, unnest({GRAMS(n=5, m=4)}) AS x FROM o), n AS (SELECT id, count(*) AS n FROM g GROUP BY id), p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM g a JOIN g b ON a.x = b.x AND a.id < b.id GROUP BY ALL) SELECT a, b, shared FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)")
+def near_dups(spark, d):
+    return corpus.similar(t(spark, d, "documents"))
+
+
+@query(f"SELECT source, {SPLIT} AS split, count(*) AS docs FROM documents GROUP BY source")
+def split_by_title(spark, d):
+    return corpus.titles_split(t(spark, d, "documents"))
+
+
+@query(f"WITH k AS (SELECT DISTINCT unnest({GRAMS(n=8, m=7)}) AS x FROM (SELECT {LOWER} AS w FROM benchmark)), g AS (SELECT doc_id, unnest({GRAMS(n=8, m=7)}) AS x FROM (SELECT doc_id, {LOWER} AS w FROM documents)) SELECT doc_id, count(*) AS hits FROM g JOIN k USING (x) GROUP BY doc_id")
+def decontaminate(spark, d):
+    return corpus.shared_grams(t(spark, d, "documents"), t(spark, d, "benchmark"))
+
+
+@query(f"WITH k AS (SELECT DISTINCT unnest({GRAMS(n=5, m=4)}) AS x FROM (SELECT {LOWER} AS w FROM documents)), g AS (SELECT conv_id * 1000 + turn AS doc_id, unnest({GRAMS(n=5, m=4)}) AS x FROM (SELECT conv_id, turn, {LOWER} AS w FROM conversations)) SELECT doc_id, count(*) AS hits FROM g JOIN k USING (x) GROUP BY doc_id")
+def memorization_overlap(spark, d):
+    said = t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return corpus.shared_grams(said, t(spark, d, "documents"), 5)
+
+
+@query(f"WITH c AS (SELECT x, count(*) AS n FROM (SELECT unnest({LOWER}) AS x FROM documents) GROUP BY x), p AS (SELECT substr(x, i, 1) AS a, substr(x, i + 1, 1) AS b, n FROM (SELECT x, n, unnest(range(1, length(x))) AS i FROM c WHERE length(x) > 1)) SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY ALL")
+def bpe_pair_counts(spark, d):
+    return corpus.pair_counts(corpus.word_counts(t(spark, d, "documents")).select(corpus.symbols(F.col("word")).alias("symbols"), "n"))
+
+
+@query()
+def bpe_train(spark, d):
+    merges = corpus.learn_merges(t(spark, d, "documents"), 8, lambda x: x.persist())
+    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(merges)], "rank int, a string, b string")
+
+
+@query("SELECT doc_id, round(3.5 * n_chars / (ln(2) * octet_length(encode(text))), 8) AS bits FROM documents")
+def bits_per_byte(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.round(3.5 * F.col("n_chars") / (F.log(F.lit(2.0)) * F.octet_length("text")), 8).alias("bits"))
+
+
+@query(f"SELECT doc_id, round(CASE WHEN len(w) >= 3 THEN 1 - len({GRAMS(n=3, m=2)}) / (len(w) - 2) ELSE 0 END, 8) AS share FROM (SELECT doc_id, {LOWER} AS w FROM documents)")
+def repetition(spark, d):
+    return t(spark, d, "documents").repartition("doc_id").select("doc_id", F.round(corpus.repeated_grams(F.col("text")), 8).alias("share"))
+
+
+@query(f"SELECT CASE WHEN {SPLIT} = 'train' THEN 'seen' ELSE 'heldout' END AS side, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS deviation FROM documents GROUP BY 1")
+def seen_vs_heldout(spark, d):
+    side = F.when(C.split_of(F.col("source")) == "train", "seen").otherwise("heldout")
+    return t(spark, d, "documents").groupBy(side.alias("side")).agg(F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.stddev_samp("n_chars"), 6).alias("deviation"))
+
+
+@query("SELECT conv_id, count(*) AS turns, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def dialogue_docs(spark, d):
+    one = t(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("s")))).alias("x"))
+    return one.select("conv_id", F.size("x").cast("long").alias("turns"), F.md5(F.array_join(F.col("x.s"), "\n")).alias("digest"))
