@@ -32,17 +32,15 @@ def group(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     First, in pivots rounds, every bucket's members are compared with one of them: in the first round the one that shares most
     buckets, then one by hash, another in each bucket. That is linear in the bucket and links a group of near copies nearly whole. The pivot then leaves the bucket, as
     its links there are all known, and a bucket leaves whose members one component holds. Of the pairs left
-    between different components, those are compared that three exact bounds allow: the sizes; the elements that a
-    set has for itself alone, which no other set can share; and the distances to the pivots, as Jaccard
-    distance is a metric and two sets whose distances to a pivot differ by more than the limit are no pair.
+    between different components, those are compared that two exact bounds allow: the sizes, and the distances to the
+    pivots, as Jaccard distance is a metric and two sets whose distances to a pivot differ by more than the
+    limit are no pair. The join that finds these pairs judges them by their whole sets, so only links leave it.
     No pair of candidates between components is left out otherwise.
     """
     far = 1 - percent / 100 + 1e-9
     ids = cut(members.select("id").distinct(), "ids")
     sets = cut(sets_of(ids), "sets")
-    alone = sets.select("id", F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count(F.lit(1)).alias("u"))
-    degree = members.groupBy("id").agg(F.sum("m").alias("deg"), F.max("n").alias("n")).join(alone, "id", "left").select("id", "deg", (F.col("n") - F.coalesce("u", F.lit(0))).alias("e"), "n")
-    degree = degree.where(f"100 * e >= {percent} * n").drop("n")
+    degree = members.groupBy("id").agg(F.sum("m").alias("deg"))
     live = cut(members.select("key", "id", "n").join(degree, "id").withColumn("c", F.col("id")), "live")
     links, owner = None, None
     for k in range(pivots + 1):
@@ -51,8 +49,7 @@ def group(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
         pivot = spread.select("key", (-F.col("z.i")).alias("p"), F.col("z.n").alias("pn"), F.col("z.c").alias("pc"))
         own = live.join(pivot, "key")
         if k == pivots:
-            both = F.least("e", "e_")
-            near = 100 * both >= percent * (F.col("n") + F.col("n_") - both)
+            near = F.lit(True)
             for j in range(pivots):
                 near = near & (F.col(f"lo{j}") - F.col(f"hi{j}_") <= far) & (F.col(f"lo{j}_") - F.col(f"hi{j}") <= far)
             one = live.join(spread.select("key"), "key").drop("deg")
@@ -81,7 +78,7 @@ def group(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
         known = F.when(F.col("c") == F.col("pc"), F.lit(0.0)).otherwise(1 - F.least("n", "pn") / F.greatest("n", "pn"))
         rest = rest.withColumn(f"lo{k}", F.coalesce("d", known)).withColumn(f"hi{k}", F.coalesce("d", F.lit(1.0)))
         old = live
-        live = cut(rest.join(owner.select("id", "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).select("key", "id", "n", "e", "deg", "c", *(f"{x}{j}" for j in range(k + 1) for x in ("lo", "hi"))), "live")
+        live = cut(rest.join(owner.select("id", "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).select("key", "id", "n", "deg", "c", *(f"{x}{j}" for j in range(k + 1) for x in ("lo", "hi"))), "live")
         drop(old, spread)
     owner = cut(components(links), "owner")
     drop(sets, ids, live)

@@ -6,6 +6,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,79 +19,171 @@ CAPACITY = 2048
 #: Groups of large pieces, and the shares of a sequence above which a piece is large: all are planned, the
 #: plan with the fewest sequences is used. (Above a half, each combination is of one large piece.)
 GROUPS, LARGE = 64, (1 / 4, 1 / 3, 1 / 2)
-#: Words whose ids a worker keeps; beyond that the older half goes. About 100 bytes each.
+#: Words whose ids a worker keeps, about 150 bytes each; beyond that it begins anew.
 CACHE = 400_000
+#: Longer words go to the tokenizer.
+LONGEST = 64
 #: The plan that goes to the workers follows the number of lengths, not the corpus; this is checked.
 MAX_PLAN = 2_000_000
 BUCKET = 20_000
 
+#: Texts of these characters alone are split here: basic Latin letters, ASCII digits, marks and white space.
 _FAST = re.compile(r"[\t-\r -~À-ÖØ-öø-įĲ-ſ]*\Z")
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: The tokenizer's pre-tokens, for lower-case texts of those characters.
+_WORDS = re.compile(r"[a-zß-öø-ſ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-zß-öø-ſ0-9\t-\r ]+")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SLOTS = 1 << 18
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
+class Merges:
+    """Byte-pair merges of many words at once: in each round every word's pair of the least rank, of equal ones the first, is made one."""
+
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
+        letter = _byte_letters()
+        self.inner = np.array([vocab[letter[b]] for b in range(256)], np.int64)
+        self.last = np.array([vocab[letter[b] + suffix] for b in range(256)], np.int64)
+        self.bits = np.int64(max(vocab.values()).bit_length())
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
+        keys = np.array([(vocab[a] << int(self.bits)) | vocab[b] for a, b in pairs], np.int64)
+        self.to = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.keys, self.rank = np.full(_SLOTS, -1, np.int64), np.zeros(_SLOTS, np.int64)
+        todo, self.probes = np.arange(len(keys)), 0
+        while len(todo):  # open addressing: each round, one key settles in each free slot
+            slot = (self._hash(keys[todo]) + self.probes) & (_SLOTS - 1)
+            free = self.keys[slot] < 0
+            where, first = np.unique(slot[free], return_index=True)
+            self.keys[where], self.rank[where] = keys[todo[free][first]], todo[free][first]
+            todo, self.probes = np.setdiff1d(todo, todo[free][first]), self.probes + 1
+
+    @staticmethod
+    def _hash(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (_SLOTS - 1)
+
+    def _ranks(self, keys: np.ndarray) -> np.ndarray:
+        out, left, h = np.full(len(keys), -1, np.int64), np.arange(len(keys)), self._hash(keys)
+        for p in range(self.probes):
+            slot = (h[left] + p) & (_SLOTS - 1)
+            there = self.keys[slot]
+            hit = there == keys[left]
+            out[left[hit]] = self.rank[slot[hit]]
+            left = left[(there >= 0) & ~hit]
+            if not len(left):
+                break
+        return out
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids, one word after another, and where each begins (one more at the end)."""
+        raw = [w.encode() for w in words]
+        n = np.array([len(x) for x in raw], np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        owner = np.repeat(np.arange(len(raw)), n)
+        end = np.zeros(len(data), bool)
+        end[np.cumsum(n) - 1] = True
+        symbol = np.where(end, self.last[data], self.inner[data])
+        parts, owners = [], []
+        while True:
+            at = np.flatnonzero(owner[1:] == owner[:-1])
+            rank = self._ranks((symbol[at] << self.bits) | symbol[at + 1])
+            at, rank = at[rank >= 0], rank[rank >= 0]
+            if not len(at):
+                parts.append(symbol)
+                owners.append(owner)
+                break
+            mine = owner[at]
+            first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1]))
+            least = np.minimum.reduceat((rank << 32) | np.arange(len(rank)), first) & 0xFFFFFFFF
+            symbol[at[least]] = self.to[rank[least]]
+            keep = np.ones(len(symbol), bool)
+            keep[at[least] + 1] = False
+            active = np.zeros(len(raw), bool)
+            active[mine[first]] = True
+            on = active[owner]
+            parts.append(symbol[keep & ~on])
+            owners.append(owner[keep & ~on])
+            symbol, owner = symbol[keep & on], owner[keep & on]
+        symbol, owner = np.concatenate(parts), np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return symbol[order], np.searchsorted(owner[order], np.arange(len(raw) + 1))
 
 
 class Encoder:
     """Ids of whole texts, equal to the tokenizer's own.
 
-    Texts of basic Latin letters are cut into the tokenizer's pre-tokens here, whose ids are kept, so each
-    word is merged once; other texts, and those that hold a special token, go to the tokenizer as they are.
+    Texts of basic Latin letters are cut into the tokenizer's pre-tokens here and each word is merged once, many
+    at a time; other texts, those that hold a special token, and tokenizers of another make go to the tokenizer as they are.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        spec = json.loads(open(path, encoding="utf-8").read())
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.special = tuple(x["content"] for x in spec["added_tokens"])
-        pre = json.dumps(spec["pre_tokenizer"] or {})
+        model, pre = spec["model"], (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         norm = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-        self.fast = norm == ["NFC", "Replace", "Lowercase"] and r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in pre
-        self.words = Tokenizer.from_file(path)
-        self.words.normalizer = normalizers.Sequence([])
-        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.new: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.fast = (
+            norm == ["NFC", "Replace", "Lowercase"]
+            and [x["type"] for x in pre] == ["Split", "ByteLevel"]
+            and pre[0]["pattern"] == {"Regex": _SPLIT}
+            and (pre[0]["behavior"], pre[0]["invert"]) == ("Removed", True)
+            and not pre[1]["add_prefix_space"]
+            and not pre[1]["use_regex"]
+            and model["type"] == "BPE"
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+            and bool(model.get("end_of_word_suffix"))
+        )
+        if self.fast:
+            self.merges = Merges(model["vocab"], model["merges"], model["end_of_word_suffix"])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.flat, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.new) > CACHE // 2:
-            self.old, self.new = self.new, {}
+        long = [w for w in words if len(w) > LONGEST]
+        if long:
+            words = [w for w in words if len(w) <= LONGEST]
         for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            e = self.words.encode(part, is_pretokenized=True, add_special_tokens=False)
-            at = np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1)).tolist()
-            ids = e.ids
-            self.new.update(zip(part, [ids[a:b] for a, b in zip(at, at[1:])]))
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        split: list[list[str] | None] = []
-        missing: dict[str, None] = {}
-        for t in texts:
-            if self.fast and _FAST.match(t) and not any(x in t for x in self.special):
-                ws = _WORDS.findall(t.lower())
-                split.append(ws)
-                for w in set(ws):
-                    if w not in self.new:
-                        if w in self.old:
-                            self.new[w] = self.old[w]
-                        else:
-                            missing[w] = None
-            else:
-                split.append(None)
-        known = self.new
-        self._learn(list(missing))
-        if known is not self.new:  # turned over while this batch's words were in it
-            for ws in split:
-                for w in ws or ():
-                    if w not in self.new:
-                        self.new[w] = self.old[w]
-        get = self.new.__getitem__
+            ids, at = self.merges.ids(words[i : i + 20_000])
+            self._add(words[i : i + 20_000], ids, at)
+        for w in long:
+            ids = np.array(self.whole.encode(w, add_special_tokens=False).ids, np.int64)
+            self._add([w], ids, np.array([0, len(ids)]))
+
+    def _add(self, words: list[str], ids: np.ndarray, at: np.ndarray) -> None:
+        self.index.update(zip(words, range(len(self.at) - 1, len(self.at) - 1 + len(words))))
+        self.at = np.concatenate([self.at, at[1:] + len(self.flat)])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if len(self.index) > CACHE:
+            self._forget()
+        split = [_WORDS.findall(t.lower()) if self.fast and _FAST.match(t) and not any(x in t for x in self.special) else None for t in texts]
+        words = [w for ws in split if ws for w in ws]
+        rows = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(rows < 0).tolist()
+        if new:
+            self._learn(list(dict.fromkeys(words[k] for k in new)))
+            rows[new] = [self.index[words[k]] for k in new]
+        n = self.at[rows + 1] - self.at[rows]
+        to = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(self.at[rows] - to[:-1], n) + np.arange(to[-1])]
+        place = 0
         for t, ws in zip(texts, split):
             if ws is None:
-                yield self.whole.encode(t, add_special_tokens=False).ids
+                yield np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int64)
             else:
-                out: list[int] = []
-                for x in map(get, ws):
-                    out += x
-                yield out
+                yield ids[to[place] : to[place + len(ws)]]
+                place += len(ws)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -107,7 +200,7 @@ def _cut_up(path: str, capacity: int, end: int):
                 part = batch.slice(i, 256)
                 rows: list[tuple] = []
                 for d, ids in zip(part.column("doc_id").to_pylist(), e.encode([t or "" for t in part.column("text").to_pylist()])):
-                    a = np.array([*ids, end], "<u4")
+                    a = np.append(ids, end).astype("<u4")
                     for k in range(0, len(a), capacity):
                         x = a[k : k + capacity]
                         rows.append((d, k // capacity, k, len(x), zlib.crc32(x.tobytes())))
