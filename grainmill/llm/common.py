@@ -43,6 +43,14 @@ def drop(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """name, with as many underscores as it takes to be no column of the frames."""
+    there = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
 def folded(values: list[int]) -> Column:
     """A constant array<bigint>; the optimizer folds the parsing away."""
     return F.from_json(F.lit(json.dumps(values)), "array<bigint>")

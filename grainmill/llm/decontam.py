@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: One edit in so many characters of an item is allowed.
 CHARS_PER_EDIT = 20
 #: Items in one automaton (about 25 MB in a worker); a larger benchmark is matched block by block.
@@ -173,5 +175,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFr
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without any match, all columns. Rows with a null doc_id are judged by their text too."""
-    hit = matches(docs.select(F.xxhash64("text", F.lit(1)).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.xxhash64("text", F.lit(1)) == F.col("_hit"), "left_anti")
+    name, key = fresh("_hit", docs), F.xxhash64(F.col("text").cast("string"), F.lit(1))
+    hit = matches(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, key == F.col(name), "left_anti")

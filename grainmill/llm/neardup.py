@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import cut, drop, sieve
+from .common import cut, drop, fresh, sieve
 from .links import group, shared_keys
 
 #: 75 permutations give 150 values, 30 bands of 5: a pair at similarity 0.8 is missed by all bands once in 150,000 times.
@@ -106,5 +106,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that near_duplicates() keeps, one document of each group, all columns."""
-    gone = near_duplicates(docs, shingle_words, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = fresh("_gone", docs)
+    gone = near_duplicates(docs, shingle_words, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
