@@ -157,7 +157,8 @@ def test_packing_round_trip(spark, odd, none):
 
 
 def test_toxicity_on_held_out_rows(spark, odd, none):
-    sf = "/root/testdata/sf0.01"
+    # sf0.01 has 33 toxic rows to learn from and 18 held out, 3 of them without any toxic word
+    sf = "/root/testdata/sf0.1"
     docs, labels = registry.table(spark, sf, "documents"), registry.table(spark, sf, "labels")
     got = toxicity.classify(docs, labels).join(labels.select("doc_id", F.col("toxic").alias("y")), "doc_id").collect()
     assert {r.held_out for r in got} == {True, False} and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
