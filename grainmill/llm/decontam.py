@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -117,14 +118,16 @@ class Matcher:
         return (at == 0 or text[at - 1] == " ") and (at + n == len(text) or text[at + n] == " ")
 
 
-_made: dict[int, Matcher] = {}
+_made: dict[str, Matcher] = {}
 
 
-def _worker(items) -> Matcher:
-    key = items.id if hasattr(items, "id") else id(items)
+def _worker(sent) -> Matcher:
+    """The matcher of a broadcast (key, items). A worker is reused by tasks of other blocks and benchmarks, and a
+    Broadcast's address in it by another Broadcast, so the key travels with the items."""
+    key, items = sent.value
     if key not in _made:
         _made.clear()
-        _made[key] = Matcher(items.value)
+        _made[key] = Matcher(items)
     return _made[key]
 
 
@@ -156,7 +159,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFr
     for k, part in enumerate(parts):
         texts = list(part)
         ids = spark.sparkContext.broadcast(list(part.values()))
-        sent = spark.sparkContext.broadcast(list(enumerate(texts)))
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, list(enumerate(texts))))
 
         def f(batches: Iterator[pa.RecordBatch], sent=sent, ids=ids) -> Iterator[pa.RecordBatch]:
             m = _worker(sent)

@@ -154,6 +154,19 @@ def test_decontamination_against_brute_force(spark, odd, none):
     assert decontam.matches(odd, bench.where("false")).isEmpty()
 
 
+def test_decontamination_by_blocks_in_reused_workers(spark):
+    random.seed(6)
+    items = [(k, " ".join("".join(random.choices("abcdefgh", k=6)) for _ in range(8))) for k in range(90)]
+    docs = spark.createDataFrame([(k, f"before it {t} after it") for k, t in items], "doc_id long, text string").repartition(2).cache()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(k, k, 0) for k, _ in items}
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontam.matches(docs, bench, block=3).collect()} == want
+    # benchmarks one after another in one session
+    for k in range(0, 90, 30):
+        got = decontam.matches(docs, bench.where(f"item_id between {k} and {k + 29}")).collect()
+        assert {(r.doc_id, r.item_id, r.distance) for r in got} == {x for x in want if k <= x[0] < k + 30}
+
+
 def test_neighbours_against_brute_force(spark):
     import numpy as np
 
