@@ -98,6 +98,14 @@ def test_lines_against_brute_force(spark, odd, none):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 6), (False, 6), (False, 7), (True, 0)]
 
 
+def test_short_lines(spark):
+    docs = [(1, "Yes.\n\nand therhean is the is esndha."), (2, "no\n yes. "), (3, "yes.\n \t\u00a0\nAND therhean is the is esndha."), (4, "\n \n"), (5, "7")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): r.kept for r in lines.decisions(frame).collect()}
+    assert got == {(1, 0): True, (1, 2): True, (2, 0): True, (2, 1): False, (3, 0): False, (3, 2): False, (5, 0): True}
+    assert {r.doc_id: r.text for r in lines.clean(frame).collect()} == {1: docs[0][1], 2: "no", 4: "\n \n", 5: "7"}
+
+
 def test_plan():
     r = np.random.default_rng(1)
     for sizes in (np.minimum(2048, r.lognormal(6.5, 1, 5000).astype(int) + 1), r.integers(1, 2048, 5000), r.integers(1, 300, 40), np.array([2048] * 3), np.array([], int), np.array([1025] * 7 + [1023] * 7)):
