@@ -106,6 +106,31 @@ def test_short_lines(spark):
     assert {r.doc_id: r.text for r in lines.clean(frame).collect()} == {1: docs[0][1], 2: "no", 4: "\n \n", 5: "7"}
 
 
+def test_shingles_hold_every_character(spark):
+    random.seed(8)
+    letters = lambda n: "".join(random.choices("0123456789abcdef", k=n))
+    account = "transaction {:020d} by account {:020d}"
+    key, long = letters(12), letters(60)
+    texts = [key + letters(36), key + letters(36), account.format(12345, 7), account.format(98765, 42), long, "x" + long, long[:30] + "-" + long[30:], "a\rb" * 15, "a\rc" * 15]
+    texts += ["".join(random.choices("ab -\ré", [8, 8, 1, 1, 1, 1], k=random.randint(1, 70))) for _ in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: set(r.s) for r in frame.select("doc_id", lines.shingles(F.col("text")).alias("s")).collect()}
+    plain = [{t[i : i + lines.SHINGLE] for i in range(len(t))} for t in texts]
+    hashes = {r.g: r.h for r in spark.createDataFrame([(g,) for g in set().union(*plain)], "g string").select("g", F.xxhash64("g").alias("h")).collect()}
+    for k, t in enumerate(texts):
+        seen = set()
+        for i in range(len(t)):
+            if hashes[t[i : i + lines.SHINGLE]] in got[k]:
+                seen.update(range(i, min(i + lines.SHINGLE, len(t))))
+        assert seen == set(range(len(t))) and got[k] <= {hashes[g] for g in plain[k]}
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    for a in range(9):
+        for b in range(a):
+            assert alike(got[a], got[b]) == alike(plain[a], plain[b]), (texts[a], texts[b])
+    kept = {r.doc_id: r.kept for r in lines.decisions(frame.where("doc_id < 4")).collect()}
+    assert kept == dict.fromkeys(range(4), True)
+
+
 def test_plan():
     r = np.random.default_rng(1)
     for sizes in (np.minimum(2048, r.lognormal(6.5, 1, 5000).astype(int) + 1), r.integers(1, 2048, 5000), r.integers(1, 300, 40), np.array([2048] * 3), np.array([], int), np.array([1025] * 7 + [1023] * 7)):
