@@ -131,6 +131,21 @@ def test_shingles_hold_every_character(spark):
     assert kept == dict.fromkeys(range(4), True)
 
 
+def test_bands_of_pairs_at_the_threshold(spark):
+    r = np.random.default_rng(9)
+    rows = []
+    for k in range(3000):
+        s = (8, 16, 48, 96, 160)[k % 5]  # both hold s, each s / 8 of its own: a similarity of 0.8
+        h = r.integers(-(1 << 63), 1 << 63, s + s // 4).tolist()
+        rows += [(k, 0, h[: s + s // 8]), (k, 1, h[:s] + h[s + s // 8 :])]
+    got = defaultdict(dict)
+    for x in lines.banded(spark.createDataFrame(rows, "pair long, side int, s array<long>")).collect():
+        got[x.pair][x.side] = set(x.bands)
+    missed = sum(not (g[0] & g[1]) for g in got.values())
+    print("pairs missed", missed, "of", len(got))
+    assert missed <= 3
+
+
 def test_plan():
     r = np.random.default_rng(1)
     for sizes in (np.minimum(2048, r.lognormal(6.5, 1, 5000).astype(int) + 1), r.integers(1, 2048, 5000), r.integers(1, 300, 40), np.array([2048] * 3), np.array([], int), np.array([1025] * 7 + [1023] * 7)):
