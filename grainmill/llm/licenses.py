@@ -59,33 +59,30 @@ RULES: list[tuple[tuple[str, ...], str]] = [
     (("BSDref",), "BSD"),
     (("AllRights",), "Proprietary"),
 ]
-#: A sentence ends at . ! ? ; before white space, or else at a line break.
-STOP = r"[.!?;]+\s+"
-#: Every known sentence holds one of these, so a text without any has none.
+#: Where a sentence may begin or end: . ! ? ; : before white space, a list mark in parentheses at a line's beginning, a line break.
+STOP, ITEM = r"[.!?;:]+\s+", r"(\n\s*\(?[a-z0-9]{1,3})\)\s+"
+#: Every known sentence holds one of these words, so a text without any has none.
+WORDS = ("license", "permission", "copyright", "redistribution", "warranty", "reserved")
+if lost := [x for x in SENTENCES if not any(w in x for w in WORDS)]:
+    raise ValueError(f"sentences without any of WORDS: {lost}")
+#: The SQL's choice of sentences.
 HINT = "(?i)licen[sc]e|permi(ssion|tted)|copyright|provided|redistribut|general public|all rights"
 
 
-def _normal(x: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))
-
-
 def pattern(rule: tuple[str, ...]) -> str:
     """A rule as a regular expression over identifiers that each stand as ;identifier;."""
     return "".join(f"(;{x[:-1]};)?" if x.endswith("?") else f";({x});" if "|" in x else f";{x};" for x in rule)
 
 
 def identifiers(text: Column) -> Column:
-    """The identifiers of the known sentences of a text, in its order. A sentence may be wrapped over
-    lines; one that isn't known as a whole is looked up line by line."""
+    """The identifiers of the known sentences of a text, in its order. A known sentence begins and ends where a sentence
+    may; in between it may be wrapped over lines and hold any stop."""
     known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
-    hinted = F.filter(F.split(text, STOP), lambda x: x.rlike(HINT))
-
-    def of(x: Column) -> Column:
-        whole = F.element_at(known, _normal(x))
-        lines = F.transform(F.split(x, "\n"), lambda y: F.element_at(known, _normal(y)))
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.filter(lines, lambda y: y.isNotNull()))
-
-    return F.flatten(F.transform(hinted, of))
+    # one line for each part between stops, in normal form; a known sentence is one or several of them
+    parts = F.regexp_replace(F.regexp_replace(F.lower(text), ITEM, "$1\n"), STOP, "\n")
+    parts = F.trim(F.regexp_replace(F.regexp_replace(parts, r"[^a-z0-9\n]+", " "), r" ?\n[ \n]*", "\n"))
+    every = "|".join(x.replace(" ", r"[ \n]") for x in sorted(SENTENCES, key=len, reverse=True))
+    return F.transform(F.regexp_extract_all(parts, F.lit(rf"(?m)^(?:{every})$"), F.lit(0)), lambda x: F.element_at(known, F.translate(x, "\n", " ")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -95,10 +92,10 @@ def scan(docs: DataFrame) -> DataFrame:
     licenses: what the ordered rules make of that sequence, joined by ';', in the rules' order;
     'unknown' where known sentences fit no rule. Both empty for texts without known sentences, null and empty
     texts included. Whole texts are read; other columns are ignored; repeated rows and null ids
-    stay. One scan, no shuffle, nothing but built-in expressions: split and look up run
-    only for texts that hold a word every known sentence has.
+    stay. One scan, no shuffle, nothing but built-in expressions: sentences are looked
+    for only in texts that hold one of WORDS.
     """
-    ids = F.when(F.col("text").rlike(HINT), identifiers(F.col("text")))
+    ids = F.when(F.col("text").rlike("(?i)" + "|".join(WORDS)), identifiers(F.col("text")))
     out = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.coalesce(F.array_join(ids, ";"), F.lit("")).alias("sentences"))
     rest = F.when(F.col("sentences") != "", F.concat(F.lit(";"), F.replace("sentences", F.lit(";"), F.lit(";;")), F.lit(";")))
     out, names = out.withColumn("_rest", F.coalesce(rest, F.lit(""))), []

@@ -49,6 +49,87 @@ def test_licences(spark, odd, none):
     assert {r.licenses for r in licenses.scan(odd).where("doc_id = 6").collect()} == {"MIT"}
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD2 = """Copyright (c) 2020, A. Person
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+DISCLAIMER = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+GPL2 = """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License along
+    with this program; if not, write to the Free Software Foundation, Inc.,
+    51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.
+"""
+GPL3 = GPL2.replace("software; you", "software: you").replace("Foundation; either version 2", "Foundation, either version 3")
+GPL3 = GPL3[: GPL3.index("; if not")] + ".  If not, see <https://www.gnu.org/licenses/>.\n"
+
+
+def test_licences_as_they_are_published(spark):
+    texts = [MIT, BSD2 + DISCLAIMER, BSD3 + DISCLAIMER, GPL2, GPL3, BSD3.replace("1. ", "(1) ").replace("2. ", "(2) ").replace("3. ", "c) "), "# " + GPL2.replace("\n", "\n# "), "License: all\nrights reserved"]
+    rows = [*enumerate(texts), *((100 + k, x) for k, x in enumerate(licenses.SENTENCES))]
+    got = {r.doc_id: (r.sentences, r.licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    bsd = "BSDgrant;BSDsource;BSDbinary"
+    assert [got[k] for k in range(len(texts))] == [
+        ("MITgrant;MITnotice;MITwarranty", "MIT"),
+        (bsd, "BSD-2-Clause"),
+        (bsd + ";BSDendorse", "BSD-3-Clause"),
+        ("GPL2plus;GPLwarranty;GPLcopy", "GPL-2.0-or-later"),
+        ("GPL3plus;GPLwarranty;GPLcopy", "GPL-3.0-or-later"),
+        (bsd + ";BSDendorse", "BSD-3-Clause"),
+        ("GPL2plus;GPLwarranty;GPLcopy", "GPL-2.0-or-later"),
+        ("AllRights", "Proprietary"),
+    ]
+    assert [got[100 + k][0] for k in range(len(licenses.SENTENCES))] == list(licenses.SENTENCES.values())
+
+
 def verdict(url, rules):
     host, path = "", ""
     if url and "://" in url:
