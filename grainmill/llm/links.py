@@ -12,7 +12,7 @@ from .components import components
 
 
 def shared_keys(bands: DataFrame) -> DataFrame:
-    """The rows (key, id, n) of bands whose key at least two ids have.
+    """The rows of bands (key, id, …) whose key at least two ids have, with that number as m.
 
     Counts are partially aggregated before the shuffle. Where the shared keys fit a bounded
     Bloom filter, rows with a key of their own don't reach the second shuffle.
@@ -26,7 +26,7 @@ def shared_keys(bands: DataFrame) -> DataFrame:
 def group(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 80, pivots: int = 1) -> DataFrame:
     """(id, component) of the ids linked at a Jaccard similarity of percent or more.
 
-    members: (key, id, n, m), n the size of the id's set and m that of the bucket. sets_of:
+    members: (key, id, m) and maybe n, n the size of the id's set and m that of the bucket. sets_of:
     from a one-column table of ids to (id, s), s the whole set as an array without repeats.
 
     First, in pivots rounds, every bucket's members are compared with one of them: in the first round the one that shares most
@@ -41,7 +41,10 @@ def group(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     ids = cut(members.select("id").distinct(), "ids")
     sets = cut(sets_of(ids), "sets")
     degree = members.groupBy("id").agg(F.sum("m").alias("deg"))
-    live = cut(members.select("key", "id", "n").join(degree, "id").withColumn("c", F.col("id")), "live")
+    if "n" not in members.columns:
+        degree = degree.join(sets.select("id", F.size("s").cast("long").alias("n")), "id")
+    sized = members.drop("m").join(degree, "id").select("key", "id", "n", "deg")
+    live = cut(sized.withColumn("c", F.col("id")), "live")
     links, owner = None, None
     for k in range(pivots + 1):
         order = F.xxhash64("key", "id", F.lit(k)) if k else F.col("deg")
