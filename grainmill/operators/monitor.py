@@ -2,37 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import SPACE, perplexity
 
 METRICS = ("train", "val", "perplexity", "comprehension_sanity")
-_NUMBER = r"^[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+)?$"
+_DIGITS = "[0-9]+(_[0-9]+)*"
+_INTEGER = f"^[+-]?{_DIGITS}$"
+_NUMBER = rf"^[+-]?({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
 _BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
+#: Steps of a range, and records of a run, of a trailing mean.
+SPAN = 4096
+
+
 def lines(content: Column) -> Column:
-    """The complete lines of a log; without a final line feed the last is still being written and left out."""
+    """The complete lines of a log; unless it ends with a line feed, the last is still being written and left out."""
     parts = F.split(content, _BREAKS, -1)
-    return F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    empty = (F.element_at(parts, -1) == "").cast("int")
+    open_ = F.when(content.endswith("\n") | (content == ""), 0).otherwise(1)
+    return F.slice(parts, 1, F.greatest(F.size(parts) - empty - open_, F.lit(0)))
+
+
+def fields(line: Column) -> Column:
+    """What white space parts in a line."""
+    return F.split(F.regexp_replace(line, f"^[{SPACE}]+|[{SPACE}]+$", ""), f"[{SPACE}]+")
 
 
-def read_log(spark, path: str) -> DataFrame:
-    """(line_no, line) of a log file, read whole so that an unfinished line is known."""
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, line) of a log file, read whole so that an unfinished line is known; none where there is no file yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], "line_no int, line string")
     text = spark.read.text(path, wholetext=True)
     return text.select(F.posexplode(lines(F.col("value"))).alias("line_no", "line"))
 
 
 def parse(log: DataFrame) -> DataFrame:
-    """(line_no, step, metric, value, status) of (line_no, line): status valid, invalid or unknown."""
-    fields = F.split(F.regexp_replace("line", f"^[{SPACE}]+|[{SPACE}]+$", ""), f"[{SPACE}]+")
-    f = log.withColumn("f", fields)
-    number = F.when(F.get("f", F.lit(2)).rlike(_NUMBER), F.regexp_replace(F.get("f", F.lit(2)), "_", "").try_cast("double"))
-    step = F.when(F.get("f", F.lit(0)).rlike("^[0-9]+$"), F.get("f", F.lit(0)).try_cast("long"))
-    f = f.select("line_no", step.alias("step"), F.get("f", F.lit(1)).alias("metric"), number.alias("value"), (F.size("f") == 3).alias("three"))
-    ok = F.col("step").isNotNull() & F.col("value").isNotNull() & (F.abs("value") != float("inf")) & in_domain(F.col("metric"), F.col("value"))
-    status = F.when(~F.col("three"), "invalid").when(~F.col("metric").isin(*METRICS), "unknown").when(ok, "valid").otherwise("invalid")
+    """(line_no, step, metric, value, status) of (line_no, line): status valid, invalid or unknown.
+
+    Steps and values are what Python's int() and float() read, in ASCII digits and within 64 bits."""
+
+    def number(at: int, pattern: str, kind: str) -> Column:
+        x = F.get("f", F.lit(at))
+        return F.when(x.rlike(pattern), F.replace(x, F.lit("_"), F.lit("")).try_cast(kind))
+
+    f = log.select("line_no", fields(F.col("line")).alias("f"))
+    f = f.select("line_no", number(0, _INTEGER, "long").alias("step"), F.get("f", F.lit(1)).alias("metric"), number(2, _NUMBER, "double").alias("value"), (F.size("f") == 3).alias("three"))
+    ok = (F.col("step") >= 0) & F.col("value").isNotNull() & (F.abs("value") != float("inf")) & in_domain(F.col("metric"), F.col("value"))
+    status = F.when(~F.col("three"), "invalid").when(~F.col("metric").isin(*METRICS), "unknown").when(F.coalesce(ok, F.lit(False)), "valid").otherwise("invalid")
     return f.select("line_no", "step", "metric", "value", status.alias("status"))
 
 
@@ -63,16 +85,30 @@ def best_step(metrics: DataFrame) -> DataFrame:
 
 
 def trailing(metrics: DataFrame, window: int = 50) -> DataFrame:
-    """(metric, step, mean) of the last window records of a metric, fewer at its start."""
-    w = Window.partitionBy("metric").orderBy("step").rowsBetween(1 - max(1, window), 0)
-    return metrics.select("metric", "step", F.avg("value").over(w).alias("mean"))
+    """(metric, step, mean) of the last window records of a metric, fewer at its start.
+
+    Records are numbered from counts of steps' ranges and dealt into runs of SPAN, each with the window - 1 records
+    before it, so a long series is many tasks' work."""
+    window = max(1, window)
+    span = max(SPAN, window)
+    rows = metrics.select("metric", "step", "value", F.expr(f"step div {SPAN}").alias("b"))
+    base = rows.groupBy("metric", "b").agg(F.count(F.lit(1)).alias("c"))
+    base = base.select("metric", "b", (F.sum("c").over(Window.partitionBy("metric").orderBy("b")) - F.col("c")).alias("base"))
+    place = F.row_number().over(Window.partitionBy("metric", "b").orderBy("step")) - 1
+    rows = rows.withColumn("k", place).join(base, ["metric", "b"]).withColumn("k", F.col("k") + F.col("base"))
+    own = F.floor(F.col("k") / span)
+    runs = F.when(F.col("k") % span > span - window, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = rows.select("metric", "step", "value", "k", own.alias("own"), F.explode(runs).alias("run"))
+    w = Window.partitionBy("metric", "run").orderBy("k").rowsBetween(1 - window, 0)
+    return rows.withColumn("mean", F.avg("value").over(w)).where("own = run").select("metric", "step", "mean")
 
 
 def prune(log: DataFrame, resume: int) -> DataFrame:
     """The lines before resume, and at resume all but training losses: what a run that resumes there keeps."""
-    f = log.withColumn("f", F.split(F.trim("line"), r"\s+")).where((F.size("f") == 3) & F.get("f", F.lit(0)).rlike("^[0-9]+$"))
-    step = F.get("f", F.lit(0)).cast("long")
-    return f.where((step < resume) | ((step == resume) & (F.get("f", F.lit(1)) != "train"))).select("line_no", "line")
+    f = log.withColumn("_f", fields(F.col("line")))
+    step = F.get("_f", F.lit(0))
+    whole = F.when((F.size("_f") == 3) & step.rlike("^[0-9]+$"), step.try_cast("long"))
+    return f.where((whole < resume) | ((whole == resume) & (F.get("_f", F.lit(1)) != "train"))).select("line_no", "line")
 
 
 def changed(log: DataFrame, kept: DataFrame) -> bool:
@@ -80,6 +116,30 @@ def changed(log: DataFrame, kept: DataFrame) -> bool:
     return not log.select("line_no", "line").exceptAll(kept).isEmpty()
 
 
+def prune_file(spark: SparkSession, path: str, resume: int) -> str | None:
+    """Prune a log file in place for a run that resumes at a step. Where that takes anything away, the file is first copied
+    beside it, and the copy's path is returned. A file that isn't there is made empty. Breaks of lines stay."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at):
+        fs.create(at, False).close()
+        return None
+    kept_breaks = F.regexp_extract_all(F.col("value"), F.lit(rf"(?s).*?(?:{_BREAKS})|.+?\z"), F.lit(0))
+    log = spark.read.text(path, wholetext=True).select(F.posexplode(kept_breaks).alias("line_no", "line"))
+    kept = prune(log, resume)
+    if not changed(log, kept):
+        return None
+    joined = kept.agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("x")).select(F.array_join("x.line", "").alias("t"))
+    text = joined.first().t or ""  # before the file is opened
+    copy = jvm.org.apache.hadoop.fs.Path(at.getParent(), f"{at.getName().rsplit('.', 1)[0]}.before-resume-{time.time_ns()}.txt")
+    jvm.org.apache.hadoop.fs.FileUtil.copy(fs, at, fs, copy, False, conf)
+    out = fs.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return copy.toString()
+
+
 def formatted(step: Column, metric: Column, value: Column) -> Column:
     """A log line: training losses with six decimals, others with four."""
     return F.when(metric == "train", F.format_string("%d %s %.6f", step, metric, value)).otherwise(F.format_string("%d %s %.4f", step, metric, value))

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY, CONTEXT = 50304, 1024
 REQUIRED = ("model", "config", "step", "val_loss")
 REQUIRED_2 = ("optimizer", "rank_states", "training", "target_steps")
-FILES = ("config.json", "generation_config.json", "README.md", "training_metadata.json")
+#: Files that an export must have beside its weights, and the patterns of those that may be published.
+FILES = ("README.md", "config.json", "tokenizer_config.json", "training_metadata.json")
+PUBLIC = ("*.safetensors", "*.json", "merges.txt", "vocab.txt", "tokenizer.model", "README.md", "log.txt", "training_state.pt")
+#: Causal masks that some exports list among the weights.
+BUFFERS = (".attn.bias", ".attn.masked_bias")
+#: Matrices that an export holds transposed.
+TRANSPOSED = ("attn.c_attn.weight", "attn.c_proj.weight", "mlp.c_fc.weight", "mlp.c_proj.weight")
 
 
 def presets(spark: SparkSession) -> DataFrame:
@@ -21,6 +30,62 @@ def parameters(layers: Column, width: Column) -> Column:
     return width * VOCABULARY + width * CONTEXT + layers * (12 * width * width + 13 * width) + 2 * width
 
 
+def preset(spark: SparkSession, name: str) -> DataFrame:
+    """The preset of a name; an error for a name that there is none of."""
+    known = [r["name"] for r in presets(spark).select("name").collect()]
+    if name not in known:
+        raise ValueError(f"Unknown model size {name!r}; choose one of {', '.join(known)}")
+    return presets(spark).where(F.col("name") == name)
+
+
+def preset_name(configs: DataFrame) -> DataFrame:
+    """configs (…, layers, heads, width) with the column name: of the preset they equal, else custom."""
+    known = presets(configs.sparkSession)
+    return configs.drop("name").join(F.broadcast(known), ["layers", "heads", "width"], "left").withColumn("name", F.coalesce("name", F.lit("custom"))).select(*(c for c in configs.columns if c != "name"), "name")
+
+
+def architecture(requested: tuple[int, int, int] | None, saved: tuple[int, int, int] | None, default: tuple[int, int, int]) -> tuple[int, int, int]:
+    """(layers, heads, width) of a run: those saved, which a request must not contradict, else those requested, else the default."""
+    if saved is not None and requested is not None and saved != requested:
+        raise ValueError(f"the checkpoint's architecture is {saved}, {requested} was asked for")
+    return saved or requested or default
+
+
+def location(name: Column) -> Column:
+    """The folder of a run's logs: small and medium have their own."""
+    return F.when(name.isin("small", "medium"), F.concat(F.lit("log/"), name)).otherwise("log")
+
+
+def weights(configs: DataFrame) -> DataFrame:
+    """(name, weight, shape) of each weight of the decoders configs (name, layers, width); the head is the embedding."""
+    c = F.col("width")
+
+    def rows(prefix: Column, kinds: list[tuple[str, list]]) -> Column:
+        return F.array(*[F.struct(F.concat(prefix, F.lit(k)).alias("weight"), F.array(*[F.lit(x) if isinstance(x, int) else x.cast("int") for x in shape]).alias("shape")) for k, shape in kinds])
+
+    layer = [("ln_1.weight", [c]), ("ln_1.bias", [c]), ("attn.c_attn.weight", [3 * c, c]), ("attn.c_attn.bias", [3 * c]), ("attn.c_proj.weight", [c, c]), ("attn.c_proj.bias", [c])]
+    layer += [("ln_2.weight", [c]), ("ln_2.bias", [c]), ("mlp.c_fc.weight", [4 * c, c]), ("mlp.c_fc.bias", [4 * c]), ("mlp.c_proj.weight", [c, 4 * c]), ("mlp.c_proj.bias", [c])]
+    ends = [("wte.weight", [VOCABULARY, c]), ("wpe.weight", [CONTEXT, c]), ("ln_f.weight", [c]), ("ln_f.bias", [c])]
+    blocks = F.flatten(F.transform(F.sequence(F.lit(0), F.col("layers") - 1), lambda k: rows(F.concat(F.lit("h."), k.cast("string"), F.lit(".")), layer)))
+    return configs.select("name", F.inline(F.concat(rows(F.lit(""), ends), blocks)))
+
+
+def decay_groups(made: DataFrame) -> DataFrame:
+    """(name, decayed, tensors, parameters) of weights(): matrices are decayed, biases and norms aren't."""
+    numel = F.aggregate("shape", F.lit(1).cast("long"), lambda a, x: a * x)
+    return made.groupBy("name", (F.size("shape") >= 2).alias("decayed")).agg(F.count(F.lit(1)).alias("tensors"), F.sum(numel).alias("parameters"))
+
+
+def export_problems(source: DataFrame, target: DataFrame) -> DataFrame:
+    """(weight, problem) of the weights of an export, target (weight, shape), that source (weight, shape) lacks or has in another
+    shape; linear matrices are transposed in an export, and its causal masks aren't weights."""
+    ends = lambda names: F.lit(False) if not names else F.greatest(*[F.col("weight").endswith(x) for x in names])
+    want = target.where(~ends(BUFFERS)).select("weight", F.col("shape").alias("want"))
+    have = source.select("weight", F.when(ends(TRANSPOSED), F.reverse("shape")).otherwise(F.col("shape")).alias("have"))
+    problem = F.when(F.col("have").isNull(), "missing").when(F.col("have") != F.col("want"), F.concat(F.to_json("have"), F.lit(" != "), F.to_json("want")))
+    return want.join(have, "weight", "left").select("weight", problem.alias("problem")).where("problem is not null")
+
+
 def batch_plan(total: int, batch: int, context: int, world: int) -> int:
     """Micro steps of an update."""
     if batch <= 0 or total % (batch * context * world):
@@ -60,16 +125,92 @@ def config_diff(saved: DataFrame, current: DataFrame) -> DataFrame:
     return both.where(~F.col("saved").eqNullSafe(F.col("current"))).orderBy("key")
 
 
-def manifest(files: DataFrame) -> DataFrame:
-    """(missing, weights, complete) of an export's files (name)."""
-    names = files.agg(F.collect_set("name").alias("n"))
+def manifest(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, missing, weights, complete) of an export's files (*by, name)."""
+    names = files.groupBy(*by).agg(F.collect_set("name").alias("n"))
     missing = F.array_sort(F.array_except(F.array(*map(F.lit, FILES)), "n"))
-    weights = F.exists("n", lambda x: x.endswith(".safetensors"))
-    return names.select(F.array_join(missing, ",").alias("missing"), weights.alias("weights"), ((F.size(missing) == 0) & weights).alias("complete"))
-
-
-def best_ranked(df: DataFrame, by: str, order: list) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where("_r = 1").drop("_r")
+    has = F.exists("n", lambda x: x.endswith(".safetensors"))
+    return names.select(*by, F.array_join(missing, ",").alias("missing"), has.alias("weights"), ((F.size(missing) == 0) & has).alias("complete"))
+
+
+def allowed(files: DataFrame, patterns: Sequence[str] = PUBLIC) -> DataFrame:
+    """The files (name) that one of the patterns matches, in which * stands for any characters."""
+    every = "|".join("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in p) for p in patterns)
+    return files.where(F.col("name").rlike(rf"(?s)\A(?:{every})\z"))
+
+
+def publication(files: DataFrame, resumable: bool, step: int) -> DataFrame:
+    """(name, action) for an export's files: upload what may be published, delete a stale training state; an error where the
+    manifest isn't complete. The commit's message is the column message."""
+    state = manifest(files).first()
+    if not state.complete:
+        raise ValueError(f"Incomplete model export: {state.missing or 'no weights'}")
+    up = allowed(files).select("name", F.lit("upload").alias("action"))
+    stale = files.sparkSession.createDataFrame([] if resumable else [("training_state.pt", "delete")], "name string, action string")
+    return up.unionByName(stale).withColumn("message", F.lit(f"after {step} optimizer updates"))
+
+
+def metadata(exports: DataFrame) -> DataFrame:
+    """(json) of exports (model_size, parameter_count, step, val_loss, dataset, dataset_revision, tokenizer, resumable): the
+    record that goes with an export, ten keys each."""
+    return exports.select(
+        F.to_json(
+            F.struct(
+                "model_size", "parameter_count", F.col("step").alias("optimizer_steps_completed"), F.col("val_loss").alias("validation_loss"), "dataset", "dataset_revision", "tokenizer",
+                F.lit("random").alias("initialization"), F.lit("fixed 20-batch window").alias("validation_scope"), "resumable",
+            ),
+            {"ignoreNullFields": "false"},
+        ).alias("json")
+    )
+
+
+def card(exports: DataFrame) -> DataFrame:
+    """(model_size, text) of exports: a short card in Markdown with the figures of the record."""
+    state = F.when(F.col("resumable"), "It can be resumed from.").otherwise("It serves inference only.")
+    lines = ["# %s", "", "- Parameters: %,d", "- Completed updates: %d", "- Validation cross-entropy: %.4f nats a token", "- Dataset: %s at `%s`", "", "%s"]
+    return exports.select("model_size", F.format_string("\n".join(lines), F.coalesce("model_size", F.lit("custom")), "parameter_count", "step", "val_loss", "dataset", "dataset_revision", state).alias("text"))
+
+
+def effective(defaults: DataFrame, saved: DataFrame, given: DataFrame) -> DataFrame:
+    """(key, value, origin) of settings (key, value): what is given goes before what was saved, and that before the default.
+    A null value doesn't count as one."""
+    out = defaults.select("key", F.col("value").alias("_d"))
+    for df, name in ((saved, "_s"), (given, "_g")):
+        out = out.join(df.select("key", F.col("value").alias(name)), "key", "full")
+    origin = F.when(F.col("_g").isNotNull(), "given").when(F.col("_s").isNotNull(), "saved").otherwise("default")
+    return out.select("key", F.coalesce("_g", "_s", "_d").alias("value"), origin.alias("origin"))
+
+
+def check_flags(upload: str, private: str, batch: int, last: int | None) -> None:
+    """An error that names the first setting out of its range."""
+    for name, value in (("upload", upload), ("private", private)):
+        if value not in ("0", "1"):
+            raise ValueError(f"{name} must be 0 or 1, not {value!r}")
+    if batch <= 0:
+        raise ValueError("the batch size must be positive")
+    if last is not None and last < 1:
+        raise ValueError("there must be at least one step")
+
+
+def check_resume(saved: DataFrame, current: DataFrame, ranks: int, world: int) -> None:
+    """An error that names the settings (key, value) in which a run differs from the one it resumes, or lacks a rank's state."""
+    differ = [r["key"] for r in config_diff(saved, current).select("key").collect()]
+    if differ:
+        raise ValueError(f"Resume configuration changed: {', '.join(differ)}")
+    if ranks != world:
+        raise ValueError("Checkpoint has incomplete per-rank state")
+
+
+def require_unused(spark: SparkSession, folder: str) -> None:
+    """An error where a folder holds checkpoints or a log that isn't empty."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return
+    for x in fs.listStatus(where):
+        name = x.getPath().getName()
+        if re.fullmatch(r"model_.*\.pt", name) or (name == "log.txt" and x.getLen() > 0):
+            raise FileExistsError(f"Existing checkpoints or metrics in {folder}")
 
 
 def save_once(df: DataFrame, path: str) -> None:

@@ -26,16 +26,18 @@ def choose(scores: DataFrame) -> DataFrame:
     return one.select("item", F.when(~F.col("bad") & (ties == 1), F.col("m.choice")).otherwise(F.lit(-1)).alias("choice"))
 
 
-def top_probabilities(logits: Column, k: int) -> Column:
-    """The k largest probabilities with their ids, largest first, of ties the smaller id first."""
-    p = F.transform(softmax(logits), lambda x, i: F.struct((-x).alias("p"), i.alias("id")))
+def top_probabilities(logits: Column, k: int, vocabulary: int | None = None) -> Column:
+    """The k largest probabilities with their ids, largest first, of ties the smaller id first. Ids from vocabulary on are padding
+    and have no share."""
+    real = logits if vocabulary is None else F.slice(logits, 1, vocabulary)
+    p = F.transform(softmax(real), lambda x, i: F.struct((-x).alias("p"), i.alias("id")))
     return F.transform(F.slice(F.sort_array(p), 1, k), lambda x: F.struct(x["id"].alias("id"), (-x["p"]).alias("p")))
 
 
-def sample(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+def sample(df: DataFrame, key: str, k: int, seed: int, vocabulary: int | None = None) -> DataFrame:
     """(key, id): one of the k likeliest ids, drawn by a hash of key and seed against the cumulative probability."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    top = df.select(key, u.alias("u"), F.posexplode(top_probabilities(F.col("logits"), k)).alias("pos", "t"))
+    top = df.select(key, u.alias("u"), F.posexplode(top_probabilities(F.col("logits"), k, vocabulary)).alias("pos", "t"))
     w = Window.partitionBy(key)
     run = top.select(key, "u", "pos", F.col("t.id").alias("id"), F.sum("t.p").over(w.orderBy("pos")).alias("c"), F.sum("t.p").over(w).alias("total"))
     hit = run.where(F.col("c") > F.col("u") * F.col("total"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import bpe
 from ..functions import columns as C
-from ..operators import corpus, monitor, packing, runs, scoring
+from ..operators import corpus, decoder, monitor, packing, runs, scoring
 from ..sources import corpus as source
+from ..sources.tables import shared_dir, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,10 +92,17 @@ def select_split(spark, d):
     return spark.createDataFrame([(n,) for n in names], "name string")
 
 
-@query("SELECT k FROM (VALUES (0, ' '), (1, 'a'), (2, chr(160)), (3, ''), (4, NULL), (5, chr(8203)), (6, chr(12288)), (7, ' x ')) v(k, s) WHERE regexp_matches(s, '" + BLANK + "')")
+#: Python's white space, one character each, for DuckDB's trim.
+STRIP = " || ".join(f"chr({c})" for c in [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288])
+MARKS = ["", " \u00a0", "\u200b", "\u3000\t", "\x1c", "x"]
+
+
+@query(f"SELECT doc_id, line_no FROM (SELECT doc_id, generate_subscripts(x, 1) - 1 AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) WHERE length(trim(CASE (doc_id + line_no) % 6 WHEN 0 THEN '' WHEN 1 THEN ' ' || chr(160) WHEN 2 THEN chr(8203) WHEN 3 THEN chr(12288) || chr(9) WHEN 4 THEN chr(28) ELSE line END, {STRIP})) > 0")
 def filter_blank(spark, d):
-    rows = [(0, " "), (1, "a"), (2, " "), (3, ""), (4, None), (5, "​"), (6, "　"), (7, " x ")]
-    return spark.createDataFrame(rows, "k int, s string").where(C.not_blank(F.col("s"))).select("k")
+    rows = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    kind = (F.col("doc_id") + F.col("line_no")) % 6
+    text = F.when(kind < 5, F.element_at(F.array(*map(F.lit, MARKS)), kind.cast("int") + 1)).otherwise(F.col("line"))
+    return rows.withColumn("text", text).where(C.not_blank(F.col("text"))).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
 
 
 # tokens, offsets, blocks
@@ -105,31 +115,41 @@ def tokenize_words(spark, d):
 
 @query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n, md5(array_to_string(list_transform(range(1, octet_length(encode(text)) + 1), lambda i: CAST(('0x' || substr(hex(encode(text)), 2 * i - 1, 2)) AS INTEGER)), ' ')) AS digest FROM documents WHERE doc_id < 100")
 def tokenize_bytes(spark, d):
-    ids = t(spark, d, "documents").repartition("doc_id").select("doc_id", C.byte_ids(F.col("text")).alias("ids"))
+    ids = docs(spark, d).select("doc_id", C.byte_ids(F.col("text")).alias("ids"))
     return ids.select("doc_id", F.size("ids").cast("long").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("digest"))
 
 
 SQL["tokenize_bytes"] = SQL["tokenize_bytes"].replace(" WHERE doc_id < 100", "")
 
 
+MERGES = 300
+
+
+def train_counts(spark, d) -> DataFrame:
+    """Word counts of the train split, which alone merges are learnt from."""
+    rows = spread(t(spark, d, "documents").select("text", "source"))
+    return corpus.word_counts(rows.where(C.split_of(F.col("source")) == "train"))
+
+
 @query()
 def tokenize_bpe(spark, d):
-    merges = corpus.learn_merges(t(spark, d, "documents"), 8, lambda x: x.persist())
-    s = corpus.symbols(F.col("word"))
-    for a, b in merges:
-        s = corpus.merged(s, a, b)
-    return corpus.word_counts(t(spark, d, "documents")).select("word", F.array_join(s, " ").alias("pieces"), "n")
+    counts = train_counts(spark, d)
+    vocabulary = bpe.Vocabulary(bpe.alphabet(corpus.word_counts(docs(spark, d))), bpe.learn_merges(counts, MERGES))
+    rows = docs(spark, d).select("doc_id", C.words(F.lower("text")).alias("words"))
+    return bpe.encoded(rows, vocabulary).select("doc_id", F.size("ids").alias("n"), F.md5(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("digest"))
 
 
-@query("SELECT k, CASE WHEN len(ids) = 0 OR ids[-1] = 99 THEN ids ELSE list_append(ids, 99) END AS ids FROM (VALUES (0, [1, 2, 3, 99]), (1, [4, 5, 6]), (2, []::INTEGER[])) v(k, ids)")
+@query("WITH w AS (SELECT doc_id, string_split(text, ' ') AS ids FROM documents), l AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN ids[-1] ELSE '<eos>' END AS eos FROM w) SELECT doc_id, CAST(len(ids) + doc_id % 2 AS BIGINT) AS n, eos FROM l")
 def append_eos(spark, d):
-    rows = spark.createDataFrame([(0, [1, 2, 3, 99]), (1, [4, 5, 6]), (2, [])], "k int, ids array<int>")
-    return rows.select("k", C.with_eos(F.col("ids"), F.lit(99)).alias("ids"))
+    rows = t(spark, d, "documents").select("doc_id", F.split("text", " ", -1).alias("ids"))
+    rows = rows.withColumn("eos", F.when(F.col("doc_id") % 2 == 0, F.element_at("ids", -1)).otherwise("<eos>"))
+    out = rows.select("doc_id", "eos", C.with_eos(F.col("ids"), F.col("eos")).alias("ids"))
+    return out.where(F.element_at("ids", -1) == F.col("eos")).select("doc_id", F.size("ids").cast("long").alias("n"), "eos")
 
 
 @query(f"WITH {D} SELECT doc_id, CAST(n AS BIGINT) AS n, off FROM e")
 def token_offsets(spark, d):
-    return packing.offsets(tokens(spark, d))
+    return packing.stream(tokens(spark, d))[1]
 
 
 @query(f"WITH {K} SELECT block, md5(x) AS x, md5(y) AS y FROM b")
@@ -147,7 +167,7 @@ def pack_xy(spark, d):
 
 @query(f"WITH {K} SELECT CAST(block % {WORLD} AS INTEGER) AS rank, count(*) AS blocks, min(block) AS first, max(block) AS last FROM b GROUP BY 1")
 def rank_partition(spark, d):
-    b = packing.blocks(tokens(spark, d), SIZE)
+    b = packing.spans(packing.stream(tokens(spark, d))[1], SIZE)
     return b.groupBy(F.pmod("block", F.lit(WORLD)).cast("int").alias("rank")).agg(F.count(F.lit(1)).alias("blocks"), F.min("block").alias("first"), F.max("block").alias("last"))
 
 
@@ -173,17 +193,23 @@ def validation_window(spark, d):
 
 @query(f"WITH {K} SELECT docs, count(*) AS blocks FROM b GROUP BY docs")
 def docs_per_block(spark, d):
-    return packing.blocks(tokens(spark, d), SIZE).groupBy(F.col("docs").cast("long").alias("docs")).agg(F.count(F.lit(1)).alias("blocks"))
+    return packing.spans(packing.stream(tokens(spark, d))[1], SIZE).groupBy("docs").agg(F.count(F.lit(1)).alias("blocks"))
 
 
 SPLIT = "CASE WHEN ('0x' || substr(md5(source), 1, 8))::BIGINT % 100 < 90 THEN 'train' WHEN ('0x' || substr(md5(source), 1, 8))::BIGINT % 100 < 95 THEN 'validation' ELSE 'test' END"
 
 
-@query(f"WITH {D} SELECT {SPLIT} AS split, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens, CAST((sum(n) - 1) // {SIZE} AS BIGINT) AS blocks FROM e JOIN documents USING (doc_id) GROUP BY 1")
+@query(
+    f"""WITH {D},
+s AS (SELECT {SPLIT} AS split, doc_id, ids, n, CAST(sum(n) OVER (PARTITION BY {SPLIT} ORDER BY doc_id) - n AS BIGINT) AS off FROM e JOIN documents USING (doc_id)),
+k AS (SELECT split, off + generate_subscripts(ids, 1) - 1 AS pos, unnest(ids) AS tok FROM s),
+j AS (SELECT pos // {SIZE} AS block, * FROM k UNION ALL SELECT pos // {SIZE} - 1, * FROM k WHERE pos % {SIZE} = 0 AND pos > 0)
+SELECT split, block, md5(string_agg(tok, ' ' ORDER BY pos)) AS w FROM j GROUP BY split, block HAVING count(*) = {SIZE + 1}"""
+)
 def pack_by_split(spark, d):
-    s = t(spark, d, "documents").select("doc_id", C.split_of(F.col("source")).alias("split"))
-    one = tokens(spark, d).select("doc_id", F.size("ids").alias("n")).join(s, "doc_id").groupBy("split").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))
-    return one.withColumn("blocks", F.expr(f"(tokens - 1) div {SIZE}"))
+    s = spread(t(spark, d, "documents").select("doc_id", "text", "source"))
+    one = packing.tokenized(s, keep=[C.split_of(F.col("source")).alias("split")])
+    return packing.blocks(one, SIZE, ["split"]).select("split", "block", text_of("w").alias("w"))
 
 
 # scoring: embeddings as logits, labels as targets
@@ -214,9 +240,9 @@ def validation_loss(spark, d):
     return r.select(F.round("l", 8).alias("loss"), F.round(C.perplexity(F.col("l")), 6).alias("perplexity"))
 
 
-@query(f"WITH {L} SELECT vec_id, round(exp(least(30 * loss, 80)), 4) AS perplexity FROM s WHERE 30 * loss < 20 OR 30 * loss > 80")
+@query(f"WITH {L} SELECT vec_id, round(ln(exp(least(30 * loss, 80))), 8) AS log_perplexity FROM s")
 def perplexity(spark, d):
-    return logits(spark, d).where("30 * loss < 20 or 30 * loss > 80").select("vec_id", F.round(C.perplexity(30 * F.col("loss")), 4).alias("perplexity"))
+    return logits(spark, d).select("vec_id", F.round(F.log(C.perplexity(30 * F.col("loss"))), 8).alias("log_perplexity"))
 
 
 @query(f"WITH {L} SELECT vec_id // 3 AS item, round(sum(CASE WHEN vec_id % 2 = 1 THEN loss END) / sum(CASE WHEN vec_id % 2 = 1 THEN 1 END), 6) AS loss FROM s GROUP BY 1")
@@ -265,6 +291,35 @@ def topk_sample(spark, d):
     return scoring.sample(logits(spark, d), "vec_id", 50, 42)
 
 
+REAL = f"{L.replace('list_transform(embedding, lambda x: CAST(x AS DOUBLE))', 'list_transform(embedding[1:60], lambda x: CAST(x AS DOUBLE))')}, p AS (SELECT vec_id, i - 1 AS id, exp(v[i] - lse) AS p FROM z, range(1, 61) r(i)), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, id) - 1 AS pos FROM p QUALIFY pos < 50)"
+
+
+@query(f"WITH {REAL} SELECT vec_id, CAST(pos AS INTEGER) AS pos, CAST(id AS INTEGER) AS id, round(p, 8) AS p FROM k")
+def topk_vocabulary(spark, d):
+    top = scoring.top_probabilities(F.col("logits"), 50, 60)
+    return logits(spark, d).select("vec_id", F.posexplode(top).alias("pos", "t")).select("vec_id", "pos", "t.id", F.round("t.p", 8).alias("p"))
+
+
+TINY = decoder.Shape(vocabulary=512, context=64, layers=2, heads=4, width=32)
+
+
+@query()
+def forward_loss(spark, d):
+    """Losses of a small random decoder on windows of the documents' bytes."""
+    ids = C.byte_ids(F.col("text"))
+    rows = docs(spark, d).select("doc_id", ids.alias("b"))
+    windows = rows.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("b") - 1, F.lit(64)), lambda i: F.slice("b", i + 1, F.lit(64)))).alias("ids"))
+    out = decoder.scored(windows.select(F.col("doc_id").alias("id"), "ids"), decoder.Decoder.random(TINY))
+    return out.groupBy("id").agg(F.sum("tokens").alias("tokens"), F.round(F.avg("loss"), 6).alias("loss"))
+
+
+@query()
+def generate_samples(spark, d):
+    """Four continuations of the beginning of each benchmark item."""
+    prompts = t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.slice(C.byte_ids(F.col("text")), 1, 16).alias("ids"))
+    return decoder.samples(prompts, decoder.Decoder.random(TINY), length=24, vocabulary=256).select("id", "sample", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
 # monitoring: events as a metrics log
 
 
@@ -309,43 +364,66 @@ def perplexity_backfill(spark, d):
     return monitor.backfill(have).withColumn("value", F.round("value", 6))
 
 
-LOG = ["0 train 4.0", "1 val 3.0", "1 train 3.5", "2 train 2.5", "", "3 val", "4 other 1", "5 val nan", "6 val inf", "-1 val 2", "7 comprehension_sanity 1.5", "8 comprehension_sanity 0.5", "9 perplexity 0.5", "10 perplexity 2", "11 val 1_000", "12 val 1f", "13 val 1e3", " 14  val\t2 "]
-LOGV = "log(line_no, line) AS (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(LOG)) + ")"
-PARSED = LOGV + r""", f AS (SELECT line_no, regexp_split_to_array(regexp_replace(line, '^\s+|\s+$', '', 'g'), '\s+') AS f FROM log),
-n AS (SELECT line_no, len(f) AS k, CASE WHEN regexp_matches(f[1], '^[0-9]+$') THEN TRY_CAST(f[1] AS BIGINT) END AS step, f[2] AS metric,
- CASE WHEN regexp_matches(f[3], '^[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(replace(f[3], '_', '') AS DOUBLE) END AS value FROM f),
-st AS (SELECT *, CASE WHEN k <> 3 THEN 'invalid' WHEN metric NOT IN ('train', 'val', 'perplexity', 'comprehension_sanity') THEN 'unknown'
- WHEN step IS NOT NULL AND value IS NOT NULL AND CASE metric WHEN 'comprehension_sanity' THEN value BETWEEN 0 AND 1 WHEN 'perplexity' THEN value >= 1 ELSE value >= 0 END THEN 'valid' ELSE 'invalid' END AS status FROM n)"""
+#: Lines made of events in eleven ways, the same in SQL, which says what becomes of each kind without reading it.
+LINES = f"{M}, kinds AS (SELECT *, line_no % 11 AS kind, round(value, 4) AS v FROM g), status AS (SELECT *, CASE WHEN kind IN (0, 1, 2, 3, 10) THEN 'valid' WHEN kind = 6 THEN 'unknown' ELSE 'invalid' END AS status, CASE WHEN kind = 3 THEN 10 ELSE step END AS shown FROM kinds)"
 
 
-def log(spark) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(LOG)), "line_no int, line string")
+def log(spark, d) -> DataFrame:
+    m, kind = metrics(spark, d), F.col("line_no") % 11
+    step, value = F.col("step").cast("string"), F.format_string("%.4f", F.round("value", 4))
+    line = F.concat_ws(" ", step, "metric", value)
+    for k, x in (
+        (1, F.concat(F.lit("\t "), step, F.lit("  "), F.col("metric"), F.lit("\t"), value, F.lit(" "))),
+        (2, F.concat_ws(" ", F.concat(F.lit("+"), step), "metric", value)),
+        (3, F.concat_ws(" ", F.lit("1_0"), "metric", value)),
+        (4, F.concat_ws(" ", F.lit("-5"), "metric", value)),
+        (5, F.concat_ws(" ", step, "metric")),
+        (6, F.concat_ws(" ", step, F.lit("other"), F.lit("x"))),
+        (7, F.concat_ws(" ", step, "metric", F.lit("nan"))),
+        (8, F.concat_ws(" ", step, "metric", F.lit("1f"))),
+        (9, F.concat_ws(" ", step, F.lit("comprehension_sanity"), F.lit("2"))),
+        (10, F.concat(step, F.lit("\u00a0"), F.col("metric"), F.lit("\u3000"), value)),
+    ):
+        line = F.when(kind == k, x).otherwise(line)
+    return m.select("line_no", line.alias("line"))
 
 
-@query(f"WITH {PARSED} SELECT step, metric, value FROM st WHERE status = 'valid'")
+@query(f"WITH {LINES} SELECT line_no, shown AS step, metric, v AS value FROM status WHERE status = 'valid'")
 def metrics_valid(spark, d):
-    return monitor.parse(log(spark)).where("status = 'valid'").select("step", "metric", "value")
+    return monitor.parse(log(spark, d)).where("status = 'valid'").select("line_no", "step", "metric", "value")
 
 
-@query(f"WITH {PARSED} SELECT status, count(*) AS lines FROM st GROUP BY status")
+@query(f"WITH {LINES} SELECT status, count(*) AS lines FROM status GROUP BY status")
 def metrics_invalid(spark, d):
-    return monitor.parse(log(spark)).groupBy("status").agg(F.count(F.lit(1)).alias("lines"))
+    return monitor.parse(log(spark, d)).groupBy("status").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query()
+@query(f"WITH {LINES} SELECT metric, shown AS step, max_by(v, line_no) AS value, count(*) - 1 AS duplicates FROM status WHERE status = 'valid' GROUP BY metric, shown")
+def read_metrics(spark, d):
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    log(spark, d).orderBy("line_no").coalesce(1).select("line").write.text(path)
+    rows = monitor.parse(monitor.read_log(spark, path)).where("status = 'valid'")
+    return monitor.last_wins(rows).select("metric", "step", "value", "duplicates")
+
+
+@query(f"WITH {LINES}, p AS (SELECT line_no // 100 AS part, line_no FROM g) SELECT part, CAST(CASE part % 3 WHEN 0 THEN count(*) WHEN 1 THEN count(*) - 1 ELSE count(*) - 1 END AS INTEGER) AS lines FROM p GROUP BY part")
 def metrics_partial_tail(spark, d):
-    raw = spark.createDataFrame([("\n".join(LOG),)], "value string")
-    return raw.select(F.posexplode(monitor.lines(F.col("value"))).alias("line_no", "line"))
+    # logs of a hundred lines: whole, cut within the last line, or ending with a break that isn't a line feed
+    part = F.expr("line_no div 100")
+    one = log(spark, d).groupBy(part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("x"))
+    raw = F.array_join("x.line", "\n")
+    raw = F.when(F.col("part") % 3 == 0, F.concat(raw, F.lit("\n"))).when(F.col("part") % 3 == 1, raw).otherwise(F.concat(raw, F.lit("\r")))
+    return one.select("part", F.size(monitor.lines(raw)).alias("lines"))
 
 
-@query("SELECT * FROM (VALUES (0, '0 train 4.0'), (1, '1 val 3.0')) v(line_no, line)")
+@query(f"WITH {LINES} SELECT line_no FROM status WHERE kind NOT IN (2, 3, 4, 5) AND (step < 1000 OR (step = 1000 AND (metric <> 'train' OR kind IN (6, 9))))")
 def prune_log(spark, d):
-    return monitor.prune(log(spark).where("line_no < 5"), 1)
+    return monitor.prune(log(spark, d), 1000).select("line_no")
 
 
-@query(f"WITH {M} SELECT line_no, step || ' ' || metric || ' ' || CASE WHEN metric = 'train' THEN printf('%.6f', value) ELSE printf('%.4f', round(value, 4)) END AS line FROM g WHERE metric = 'train'")
+@query(f"WITH {M} SELECT line_no, step || ' ' || metric || ' ' || CASE WHEN metric = 'train' THEN printf('%.6f', value) ELSE printf('%.4f', round(value, 4)) END AS line FROM g")
 def format_metrics(spark, d):
-    return metrics(spark, d).where("metric = 'train'").select("line_no", monitor.formatted(F.col("step"), F.col("metric"), F.col("value")).alias("line"))
+    return metrics(spark, d).select("line_no", monitor.formatted(F.col("step"), F.col("metric"), F.col("value")).alias("line"))
 
 
 # runs
@@ -361,9 +439,29 @@ def parameter_counts(spark, d):
     return runs.presets(spark).select("name", runs.parameters(F.col("layers"), F.col("width")).alias("parameters"))
 
 
-@query("SELECT name, layers, heads, width FROM (VALUES ('small', 6, 6, 384), ('medium', 8, 8, 512), ('gpt2', 12, 12, 768)) v(name, layers, heads, width) WHERE layers = 8 AND width = 512")
+@query("SELECT name, layers, heads, width, 'log/medium' AS logs FROM (VALUES ('small', 6, 6, 384), ('medium', 8, 8, 512), ('gpt2', 12, 12, 768)) v(name, layers, heads, width) WHERE layers = 8 AND width = 512")
 def preset_lookup(spark, d):
-    return runs.presets(spark).where("layers = 8 and width = 512")
+    return runs.preset(spark, "medium").withColumn("logs", runs.location(F.col("name")))
+
+
+@query("SELECT p_size AS layers, p_size % 12 AS heads, p_size * 64 AS width, CASE WHEN p_size = 6 AND heads = 6 THEN 'small' WHEN p_size = 8 AND heads = 8 THEN 'medium' ELSE 'custom' END AS name FROM (SELECT DISTINCT p_size, p_size % 12 AS heads FROM part)")
+def preset_names(spark, d):
+    sizes = t(spark, d, "part").select(F.col("p_size").alias("layers"), (F.col("p_size") % 12).alias("heads"), (F.col("p_size") * 64).alias("width")).distinct()
+    return runs.preset_name(sizes)
+
+
+@query("SELECT name, decayed, CAST(CASE WHEN decayed THEN 2 + 4 * layers ELSE 2 + 8 * layers END AS BIGINT) AS tensors, CAST(CASE WHEN decayed THEN 51328 * width + 12 * layers * width * width ELSE (13 * layers + 2) * width END AS BIGINT) AS parameters FROM (VALUES ('small', 6, 384), ('medium', 8, 512), ('gpt2', 12, 768)) v(name, layers, width), (VALUES (true), (false)) w(decayed)")
+def decay_groups(spark, d):
+    return runs.decay_groups(runs.weights(runs.presets(spark)))
+
+
+@query("SELECT weight, problem FROM (VALUES ('ln_f.bias', 'missing'), ('h.2.attn.c_proj.weight', '[384,384] != [384,385]'), ('wpe.weight', '[1024,384] != [1025,384]')) v(weight, problem)")
+def export_check(spark, d):
+    source = runs.weights(runs.preset(spark, "small")).select("weight", "shape")
+    other = F.when(F.col("weight").isin("wpe.weight"), F.array(F.lit(1025), F.lit(384))).when(F.col("weight") == "h.2.attn.c_proj.weight", F.array(F.lit(384), F.lit(385)))
+    exported = F.when(F.greatest(*[F.col("weight").endswith(x) for x in runs.TRANSPOSED]), F.reverse("shape")).otherwise(F.col("shape"))
+    target = source.select("weight", F.coalesce(other, exported).alias("shape")).unionByName(spark.createDataFrame([("h.0.attn.bias", [1, 1, 1024, 1024])], "weight string, shape array<int>"))
+    return runs.export_problems(source.where("weight <> 'ln_f.bias'"), target)
 
 
 @query("SELECT CAST(w AS BIGINT) AS world, CAST(524288 // (64 * 1024 * w) AS BIGINT) AS accumulate FROM (VALUES (1), (2), (4), (8)) v(w)")
@@ -376,37 +474,59 @@ def schedule_events(spark, d):
     return runs.events(spark.range(10101).withColumnRenamed("id", "step"), 10100, 500)
 
 
-POINTS = [("a/model_00100.pt", 100, "small"), ("b/model_00050.pt", 50, "small"), ("a/model_20000.pt", 20000, "medium"), ("b/model_00100.pt", 100, "small")]
+POINTS = "SELECT o_custkey % 100 || '/model_' || o_orderkey || '.pt' AS path, o_orderkey % 5000 AS step, o_orderpriority AS config FROM orders"
 
 
-@query("SELECT 'a/model_00100.pt' AS path, CAST(100 AS BIGINT) AS step, 'small' AS config")
+@query(f"SELECT * FROM ({POINTS}) WHERE config = '2-HIGH' ORDER BY step DESC, path LIMIT 1")
 def select_checkpoint(spark, d):
-    return runs.newest(spark.createDataFrame(POINTS, "path string, step long, config string"), F.lit("small"))
+    path = F.concat((F.col("o_custkey") % 100).cast("string"), F.lit("/model_"), F.col("o_orderkey").cast("string"), F.lit(".pt"))
+    points = t(spark, d, "orders").select(path.alias("path"), (F.col("o_orderkey") % 5000).alias("step"), F.col("o_orderpriority").alias("config"))
+    return runs.newest(points, F.lit("2-HIGH"))
 
 
-@query("SELECT * FROM (VALUES ('ok1', NULL), ('ok2', NULL), ('cut', 'missing step,val_loss'), ('new', 'version'), ('neg', 'step'), ('half', 'missing rank_states,target_steps,training')) v(path, problem)")
+@query("SELECT o_orderkey AS path, CASE o_orderkey % 6 WHEN 2 THEN 'missing step,val_loss' WHEN 3 THEN 'version' WHEN 4 THEN 'step' WHEN 5 THEN 'missing rank_states,target_steps,training' END AS problem FROM orders")
 def validate_checkpoint(spark, d):
     old = ["model", "config", "step", "val_loss"]
-    rows = [("ok1", old, None, 5), ("ok2", [*old, "optimizer", "rank_states", "training", "target_steps"], 2, 5), ("cut", old[:2], None, 5), ("new", old, 3, 5), ("neg", old, None, -1), ("half", [*old, "optimizer"], 2, 5)]
-    return runs.validated(spark.createDataFrame(rows, "path string, keys array<string>, version int, step long"))
+    cases = [(old, None, 0), ([*old, "optimizer", "rank_states", "training", "target_steps"], 2, 0), (old[:2], None, 0), (old, 3, 0), (old, None, -1_000_000_000_000), ([*old, "optimizer"], 2, 0)]
+    table = F.array(*[F.struct(F.array(*map(F.lit, keys)).alias("keys"), F.lit(version).cast("int").alias("version"), F.lit(add).cast("long").alias("add")) for keys, version, add in cases])
+    rows = t(spark, d, "orders").select(F.col("o_orderkey").alias("path"), F.element_at(table, (F.col("o_orderkey") % 6).cast("int") + 1).alias("x"))
+    return runs.validated(rows.select("path", "x.keys", "x.version", (F.col("path") + F.col("x.add")).alias("step")))
+
 
+SETTINGS = "s AS (SELECT CAST(c_custkey AS VARCHAR) AS key, c_mktsegment AS value FROM customer WHERE c_custkey % 11 <> 0), c AS (SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey % 5 = 0 THEN 'other' WHEN c_custkey % 17 <> 0 THEN c_mktsegment END AS value FROM customer WHERE c_custkey % 7 <> 0)"
 
-@query("SELECT * FROM (VALUES ('T', '1024', '512'), ('gone', 'x', NULL), ('new', NULL, 'y')) v(key, saved, current)")
+
+def settings(spark, d) -> tuple[DataFrame, DataFrame]:
+    key, c = F.col("c_custkey").cast("string").alias("key"), t(spark, d, "customer")
+    changed = F.when(F.col("c_custkey") % 5 == 0, "other").when(F.col("c_custkey") % 17 != 0, F.col("c_mktsegment"))
+    return c.where("c_custkey % 11 <> 0").select(key, F.col("c_mktsegment").alias("value")), c.where("c_custkey % 7 <> 0").select(key, changed.alias("value"))
+
+
+@query(f"WITH {SETTINGS} SELECT coalesce(s.key, c.key) AS key, s.value AS saved, c.value AS current FROM s FULL JOIN c ON s.key = c.key WHERE s.value IS DISTINCT FROM c.value")
 def config_diff(spark, d):
-    a, b = [("B", "64"), ("T", "1024"), ("gone", "x")], [("B", "64"), ("T", "512"), ("new", "y")]
-    return runs.config_diff(spark.createDataFrame(a, "key string, value string"), spark.createDataFrame(b, "key string, value string"))
+    return runs.config_diff(*settings(spark, d))
 
 
-@query("SELECT k, coalesce(env, saved, 'default') AS value FROM (VALUES ('a', 'env', 'saved'), ('b', NULL, 'saved'), ('c', NULL, NULL)) v(k, env, saved)")
+@query(f"WITH {SETTINGS} SELECT CAST(c_custkey AS VARCHAR) AS key, coalesce(c.value, s.value, 'd') AS value, CASE WHEN c.value IS NOT NULL THEN 'given' WHEN s.value IS NOT NULL THEN 'saved' ELSE 'default' END AS origin FROM customer LEFT JOIN s ON s.key = CAST(c_custkey AS VARCHAR) LEFT JOIN c ON c.key = CAST(c_custkey AS VARCHAR)")
 def effective_config(spark, d):
-    rows = spark.createDataFrame([("a", "env", "saved"), ("b", None, "saved"), ("c", None, None)], "k string, env string, saved string")
-    return rows.select("k", F.coalesce("env", "saved", F.lit("default")).alias("value"))
+    saved, given = settings(spark, d)
+    return runs.effective(t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.lit("d").alias("value")), saved, given)
 
 
-@query("SELECT 'README.md' AS missing, true AS weights, false AS complete")
+@query("SELECT s_suppkey AS export, concat_ws(',', CASE WHEN s_suppkey % 7 = 0 THEN 'README.md' END, CASE WHEN s_suppkey % 2 = 0 THEN 'config.json' END, CASE WHEN s_suppkey % 3 = 0 THEN 'tokenizer_config.json' END, CASE WHEN s_suppkey % 5 = 0 THEN 'training_metadata.json' END) AS missing, s_suppkey % 4 <> 1 AS weights, s_suppkey % 2 > 0 AND s_suppkey % 3 > 0 AND s_suppkey % 5 > 0 AND s_suppkey % 7 > 0 AND s_suppkey % 4 <> 1 AS complete FROM supplier")
 def manifest_check(spark, d):
-    names = ["config.json", "generation_config.json", "training_metadata.json", "model-1.safetensors"]
-    return runs.manifest(spark.createDataFrame([(n,) for n in names], "name string"))
+    key = F.col("s_suppkey")
+    names = F.array_compact(F.array(*[F.when(key % m != r, n) for m, r, n in ((2, 0, "config.json"), (3, 0, "tokenizer_config.json"), (5, 0, "training_metadata.json"), (7, 0, "README.md"), (4, 1, "model-1.safetensors"))], F.lit("generation_config.json")))
+    return runs.manifest(t(spark, d, "supplier").select(key.alias("export"), F.explode(names).alias("name")), ["export"])
+
+
+#: Names of every kind, in SQL by LIKE.
+@query("SELECT DISTINCT 'upload' AS action, x AS name FROM (SELECT p_type || e AS x FROM part, (VALUES ('.safetensors'), ('.json'), ('.pt'), ('.txt'), ('.json.tmp')) v(e) UNION ALL SELECT unnest(['merges.txt', 'README.md', 'readme.md', 'log.txt', 'training_state.pt', 'xtraining_state.pt'])) WHERE x LIKE '%.safetensors' OR x LIKE '%.json' OR x IN ('merges.txt', 'vocab.txt', 'tokenizer.model', 'README.md', 'log.txt', 'training_state.pt')")
+def publish_files(spark, d):
+    kinds = F.array(*map(F.lit, (".safetensors", ".json", ".pt", ".txt", ".json.tmp")))
+    own = t(spark, d, "part").select(F.explode(F.transform(kinds, lambda e: F.concat("p_type", e))).alias("name")).distinct()
+    names = own.unionByName(spark.createDataFrame([(n,) for n in ("merges.txt", "README.md", "readme.md", "log.txt", "training_state.pt", "xtraining_state.pt")], "name string"))
+    return runs.allowed(names).select(F.lit("upload").alias("action"), "name")
 
 
 @query("SELECT 47 AS n, 50257 AS first, 50303 AS last")
@@ -415,10 +535,27 @@ def suppressed_ids(spark, d):
     return spark.range(1).select(F.size(ids).alias("n"), F.array_min(ids).alias("first"), F.array_max(ids).alias("last"))
 
 
-@query()
+def exports(spark, d) -> DataFrame:
+    """An export for each part: sizes and losses stand in its columns."""
+    p = t(spark, d, "part")
+    return p.select(
+        F.col("p_brand").alias("model_size"), (F.col("p_partkey") * 1000).alias("parameter_count"), F.col("p_size").cast("long").alias("step"), F.round(F.col("p_retailprice") / 1000, 4).alias("val_loss"),
+        F.col("p_type").alias("dataset"), F.lit("r1").alias("dataset_revision"), F.col("p_name").alias("tokenizer"), (F.col("p_partkey") % 2 == 0).alias("resumable"),
+    )
+
+
+@query("SELECT p_brand AS model_size, p_partkey * 1000 AS parameter_count, CAST(p_size AS BIGINT) AS step, round(p_retailprice / 1000, 4) AS loss, p_type AS dataset, 'random' AS initialization, 'fixed 20-batch window' AS scope, p_partkey % 2 = 0 AS resumable, 10 AS keys FROM part")
 def export_metadata(spark, d):
-    one = runs.presets(spark).where("name = 'small'").select(F.struct(F.lit(1).alias("format"), "name", runs.parameters(F.col("layers"), F.col("width")).alias("parameters")).alias("m"))
-    return one.select(F.to_json("m").alias("json"))
+    j = lambda k: F.get_json_object("json", f"$.{k}")
+    return runs.metadata(exports(spark, d)).select(
+        j("model_size").alias("model_size"), j("parameter_count").cast("long").alias("parameter_count"), j("optimizer_steps_completed").cast("long").alias("step"), j("validation_loss").cast("double").alias("loss"),
+        j("dataset").alias("dataset"), j("initialization").alias("initialization"), j("validation_scope").alias("scope"), j("resumable").cast("boolean").alias("resumable"), F.size(F.json_object_keys("json")).alias("keys"),
+    )
+
+
+@query("SELECT p_brand AS model_size, md5('# ' || p_brand || chr(10) || chr(10) || '- Parameters: ' || format('{:,}', p_partkey * 1000) || chr(10) || '- Completed updates: ' || p_size || chr(10) || '- Validation cross-entropy: ' || printf('%.4f', round(p_retailprice / 1000, 4)) || ' nats a token' || chr(10) || '- Dataset: ' || p_type || ' at `r1`' || chr(10) || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN 'It can be resumed from.' ELSE 'It serves inference only.' END) AS digest FROM part")
+def model_card(spark, d):
+    return runs.card(exports(spark, d)).select("model_size", F.md5("text").alias("digest"))
 
 
 @query("SELECT user_id, round(sum(value) / (epoch(max(ts)) - epoch(min(ts))), 6) AS per_second FROM events GROUP BY user_id HAVING max(ts) > min(ts) AND epoch(max(ts)) - epoch(min(ts)) >= 1")
@@ -431,10 +568,9 @@ def throughput(spark, d):
 # corpus
 
 
-@query("SELECT source, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS sha FROM documents GROUP BY source")
+@query("WITH b AS (SELECT source, doc_id // 256 AS bucket, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS sha FROM documents GROUP BY ALL) SELECT source, sha256(string_agg(sha, '' ORDER BY bucket)) AS sha FROM b GROUP BY source")
 def corpus_hash(spark, d):
-    one = t(spark, d, "documents").select("source", F.struct("doc_id", F.sha2("text", 256).alias("h")).alias("x")).groupBy("source").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    return one.select("source", F.sha2(F.array_join(F.col("x.h"), ""), 256).alias("sha"))
+    return corpus.digests(t(spark, d, "documents"), ["source"], 256)
 
 
 @query(f"SELECT {SPLIT} AS split, count(*) AS docs, count(DISTINCT source) AS titles, CAST(sum(len(list_filter(regexp_split_to_array(text, '[^a-zA-Z0-9]+'), lambda x: x <> ''))) AS BIGINT) AS words, count(DISTINCT md5(text)) AS unique_texts FROM documents GROUP BY 1")
@@ -465,6 +601,14 @@ def clean_pages(spark, d):
     return t(spark, d, "pages").select("page_id", F.md5(corpus.clean_markup(F.col("html"))).alias("digest"))
 
 
+@query(r"""WITH l AS (SELECT conv_id, turn, string_split(CAST(turn + 1 AS VARCHAR) || chr(10) || '00:00:01,000 --> 00:00:02,500' || chr(10) || '<i>' || text || '</i>' || chr(10) || 'see www.example.com now' || chr(10) || text, chr(10)) AS x, text FROM conversations)
+SELECT conv_id, turn, md5(trim(text, ' ')) AS digest FROM l WHERE text NOT LIKE '%' || chr(10) || '%' AND trim(text, ' ') <> ''""")
+def clean_captions(spark, d):
+    said = t(spark, d, "conversations").where(~F.col("text").contains("\n") & (F.trim("text") != ""))
+    raw = F.concat((F.col("turn") + 1).cast("string"), F.lit("\n00:00:01,000 --> 00:00:02,500\n<i>"), "text", F.lit("</i>\nsee www.example.com now\n"), "text")
+    return said.select("conv_id", "turn", F.md5(corpus.clean_captions(raw)).alias("digest"))
+
+
 @query("SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(list_distinct(string_split(text, chr(10)))) AS distinct_lines FROM documents")
 def dedup_lines(spark, d):
     x = F.split("text", "\n", -1)
@@ -482,7 +626,7 @@ LOWER = "list_filter(regexp_split_to_array(lower(text), '[^a-zA-Z0-9]+'), lambda
 
 @query(f"WITH o AS (SELECT min(doc_id) AS id, {LOWER} AS w FROM documents GROUP BY text), g AS (SELECT id, unnest({GRAMS(n=5, m=4)}) AS x FROM o), n AS (SELECT id, count(*) AS n FROM g GROUP BY id), p AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM g a JOIN g b ON a.x = b.x AND a.id < b.id GROUP BY ALL) SELECT a, b, shared FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)")
 def near_dups(spark, d):
-    return corpus.similar(t(spark, d, "documents"))
+    return corpus.similar(spread(t(spark, d, "documents").select("doc_id", "text")))
 
 
 @query(f"SELECT source, {SPLIT} AS split, count(*) AS docs FROM documents GROUP BY source")
@@ -492,13 +636,13 @@ def split_by_title(spark, d):
 
 @query(f"WITH k AS (SELECT DISTINCT unnest({GRAMS(n=8, m=7)}) AS x FROM (SELECT {LOWER} AS w FROM benchmark)), g AS (SELECT doc_id, unnest({GRAMS(n=8, m=7)}) AS x FROM (SELECT doc_id, {LOWER} AS w FROM documents)) SELECT doc_id, count(*) AS hits FROM g JOIN k USING (x) GROUP BY doc_id")
 def decontaminate(spark, d):
-    return corpus.shared_grams(t(spark, d, "documents"), t(spark, d, "benchmark"))
+    return corpus.shared_grams(docs(spark, d), t(spark, d, "benchmark"))
 
 
 @query(f"WITH k AS (SELECT DISTINCT unnest({GRAMS(n=5, m=4)}) AS x FROM (SELECT {LOWER} AS w FROM documents)), g AS (SELECT conv_id * 1000 + turn AS doc_id, unnest({GRAMS(n=5, m=4)}) AS x FROM (SELECT conv_id, turn, {LOWER} AS w FROM conversations)) SELECT doc_id, count(*) AS hits FROM g JOIN k USING (x) GROUP BY doc_id")
 def memorization_overlap(spark, d):
     said = t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    return corpus.shared_grams(said, t(spark, d, "documents"), 5)
+    return corpus.shared_grams(said, docs(spark, d), 5)
 
 
 @query(f"WITH c AS (SELECT x, count(*) AS n FROM (SELECT unnest({LOWER}) AS x FROM documents) GROUP BY x), p AS (SELECT substr(x, i, 1) AS a, substr(x, i + 1, 1) AS b, n FROM (SELECT x, n, unnest(range(1, length(x))) AS i FROM c WHERE length(x) > 1)) SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY ALL")
@@ -508,10 +652,25 @@ def bpe_pair_counts(spark, d):
 
 @query()
 def bpe_train(spark, d):
-    merges = corpus.learn_merges(t(spark, d, "documents"), 8, lambda x: x.persist())
+    merges = bpe.learn_merges(train_counts(spark, d), MERGES)
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(merges)], "rank int, a string, b string")
 
 
+VOCABULARY = 500
+
+
+@query(
+    f"""WITH c AS (SELECT x, count(*) AS n FROM (SELECT unnest({{LOWER}}) AS x FROM documents) GROUP BY x), v AS (SELECT x, CAST(row_number() OVER (ORDER BY n DESC, x) - 1 AS INTEGER) AS id FROM c QUALIFY id < {VOCABULARY}),
+w AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS x FROM (SELECT doc_id, {{LOWER}} AS w FROM documents))
+SELECT doc_id, md5(string_agg(coalesce(id, {VOCABULARY}), ' ' ORDER BY p)) AS digest FROM w LEFT JOIN v USING (x) GROUP BY doc_id""".replace("{LOWER}", "list_filter(regexp_split_to_array(lower(text), '[^a-zA-Z0-9]+'), lambda x: x <> '')")
+)
+def word_ids(spark, d):
+    top = corpus.word_counts(docs(spark, d)).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    rows = docs(spark, d).select("doc_id", C.words(F.lower("text")).alias("words")).where(F.size("words") > 0)
+    out = bpe.encoded(rows, bpe.WordVocabulary([r.word for r in top]))
+    return out.select("doc_id", F.md5(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("digest"))
+
+
 @query("SELECT doc_id, round(3.5 * n_chars / (ln(2) * octet_length(encode(text))), 8) AS bits FROM documents")
 def bits_per_byte(spark, d):
     return t(spark, d, "documents").select("doc_id", F.round(3.5 * F.col("n_chars") / (F.log(F.lit(2.0)) * F.octet_length("text")), 8).alias("bits"))
@@ -519,7 +678,7 @@ def bits_per_byte(spark, d):
 
 @query(f"SELECT doc_id, round(CASE WHEN len(w) >= 3 THEN 1 - len({GRAMS(n=3, m=2)}) / (len(w) - 2) ELSE 0 END, 8) AS share FROM (SELECT doc_id, {LOWER} AS w FROM documents)")
 def repetition(spark, d):
-    return t(spark, d, "documents").repartition("doc_id").select("doc_id", F.round(corpus.repeated_grams(F.col("text")), 8).alias("share"))
+    return docs(spark, d).select("doc_id", F.round(corpus.repeated_grams(F.col("text")), 8).alias("share"))
 
 
 @query(f"SELECT CASE WHEN {SPLIT} = 'train' THEN 'seen' ELSE 'heldout' END AS side, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS deviation FROM documents GROUP BY 1")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import not_blank
@@ -23,21 +25,30 @@ def shards(names: list[str], split: str) -> list[str]:
     return own
 
 
+def _plain(path: Column) -> Column:
+    """A path with one slash after its scheme, as files are named in either way."""
+    return F.regexp_replace(path, "^([A-Za-z][A-Za-z0-9+.-]*):/*", "$1:/")
+
+
 def records(spark: SparkSession, paths: list[str], after: tuple[int, int] = (0, 0)) -> DataFrame:
     """(shard, row, text) of the texts that aren't blank; row counts every row of the file from 1, so it is the position after the row.
 
-    after: shard and row of the last row that was read. Whole files before it aren't opened.
+    after: shard and row of the last row that was read. Files before it aren't opened; the others are one scan, however many there
+    are, whose rows get their shard from a small table of the files.
     """
-    numbered = None
-    for k, p in enumerate(paths):
-        if k < after[0]:
-            continue
-        one = spark.read.parquet(p).select(F.lit(k).alias("shard"), (F.col("_metadata.row_index") + 1).alias("row"), "text")
-        one = one.where(F.col("row") > after[1]) if k == after[0] and after[1] else one
-        numbered = one if numbered is None else numbered.unionByName(one)
-    if numbered is None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    whole = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    whole = [p.getFileSystem(conf).makeQualified(p) for p in whole]
+    rest = [(p.toString(), p.toUri().toString(), k) for k, p in enumerate(whole) if k >= after[0]]
+    if not rest:
         return spark.createDataFrame([], "shard int, row long, text string")
-    return numbered.where(not_blank(F.col("text")))
+    names = {(x, k) for plain, uri, k in rest for x in (plain, uri)}  # with and without escapes
+    table = spark.createDataFrame(sorted(names), "file string, shard int").select(_plain(F.col("file")).alias("file"), "shard").distinct()
+    rows = spark.read.parquet(*(p for p, _, _ in rest)).select(_plain(F.col("_metadata.file_path")).alias("file"), (F.col("_metadata.row_index") + 1).alias("row"), "text")
+    rows = rows.join(F.broadcast(table), "file").select("shard", "row", "text")
+    if after[1]:
+        rows = rows.where((F.col("shard") > after[0]) | (F.col("row") > after[1]))
+    return rows.where(not_blank(F.col("text")))
 
 
 def tail(spark: SparkSession, path: str, size: int = 6000) -> DataFrame:
@@ -47,9 +58,11 @@ def tail(spark: SparkSession, path: str, size: int = 6000) -> DataFrame:
 
 
 def checkpoints(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """(path) of the checkpoint files of several folders, each once."""
-    out = None
-    for f in folders:
-        one = spark.read.format("binaryFile").option("pathGlobFilter", "model_*").load(f).select("path")
-        out = one if out is None else out.unionByName(one)
-    return out.distinct().orderBy("path")
+    """(path) of the checkpoint files of several folders, each once, by path. Files aren't opened."""
+    names = set()
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            names |= {str(x.getPath().toString()) for x in fs.listStatus(path) if re.fullmatch(r"model_.*\.pt", x.getPath().getName())}
+    return spark.createDataFrame([(n,) for n in sorted(names)], "path string").orderBy("path")

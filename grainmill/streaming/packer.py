@@ -28,45 +28,48 @@ class Shards(DataSource):
 
 
 class ShardReader(SimpleDataSourceStreamReader):
+    """Batches are bounded by their rows, not by what there is, so that the packer's task holds one batch at most."""
+
     def __init__(self, options):
-        self.path, self.batch = options["path"], int(options.get("batch", 1000))
+        self.path, self.batch = options["path"].removeprefix("file://"), int(options.get("batch", 1000))
 
     def initialOffset(self) -> dict:
         return {"shard": 0, "row": 0}
 
-    def _rows(self, start: dict, most: int) -> tuple[list[tuple], dict]:
+    def _rows(self, start: dict, end: dict | None) -> tuple[list[tuple], dict]:
+        """The rows after start, up to end or so many as a batch has, and the position after them. Files and row groups outside
+        that range aren't read."""
         import pyarrow.dataset as ds
         import pyarrow.parquet as pq
 
         names = sorted(ds.dataset(self.path, format="parquet").files)
         out, at = [], dict(start)
-        while at["shard"] < len(names) and len(out) < most:
-            f = pq.ParquetFile(names[at["shard"]])
-            row = 0
+        while at["shard"] < len(names):
+            shard, f = at["shard"], pq.ParquetFile(names[at["shard"]])
+            stop = f.metadata.num_rows if end is None or shard < end["shard"] else min(end["row"], f.metadata.num_rows)
+            before = 0
             for g in range(f.num_row_groups):
                 n = f.metadata.row_group(g).num_rows
-                if row + n > at["row"] and len(out) < most:  # whole groups before the position aren't read
-                    texts = f.read_row_group(g, columns=["text"]).column("text").to_pylist()
-                    for k in range(max(0, at["row"] - row), n):
-                        if len(out) == most:
-                            break
-                        at["row"] = row + k + 1
-                        if texts[k] is not None and texts[k].strip():
-                            out.append((at["shard"], at["row"], texts[k]))
-                row += n
-            if at["row"] >= f.metadata.num_rows and at["shard"] + 1 < len(names):
-                at = {"shard": at["shard"] + 1, "row": 0}
-            elif len(out) < most:
+                if before + n > at["row"] and before < stop:
+                    texts = f.read_row_group(g, columns=["text"]).column("text")
+                    for k in range(max(0, at["row"] - before), min(n, stop - before)):
+                        at["row"], text = before + k + 1, texts[k].as_py()
+                        if text is not None and text.strip():
+                            out.append((shard, at["row"], text))
+                        if end is None and len(out) == self.batch:
+                            return out, at
+                before += n
+            if shard + 1 == len(names) or (end is not None and shard >= end["shard"]):
                 break
+            at = {"shard": shard + 1, "row": 0}
         return out, at
 
     def read(self, start: dict):
-        rows, end = self._rows(start, self.batch)
+        rows, end = self._rows(start, None)
         return iter(rows), end
 
     def readBetweenOffsets(self, start: dict, end: dict):
-        rows, _ = self._rows(start, 1 << 62)
-        return iter([r for r in rows if (r[0], r[1]) <= (end["shard"], end["row"])])
+        return iter(self._rows(start, end)[0])
 
     def commit(self, end: dict) -> None:
         pass

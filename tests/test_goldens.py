@@ -1,11 +1,19 @@
+import math
+import random
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from grainmill.functions import bpe
 from grainmill.functions import columns as C
-from grainmill.operators import corpus, monitor, packing, runs, scoring
+from grainmill.operators import decoder, monitor, packing, runs, scoring
 from grainmill.sources import corpus as source
+from grainmill.sources import sinks
 
 STREAM = [(0, "1 2 3 99"), (1, "4 5 6"), (2, "7 8 9 10 11 12 13 14")]
 
@@ -48,7 +56,7 @@ def test_records_count_raw_rows_and_resume(spark, tmp_path):
 
 
 def test_offsets_span_buckets(spark):
-    t = spark.range(20000).select(F.col("id").alias("doc_id"), F.array_repeat(F.lit("a"), (F.col("id") % 3).cast("int") + 1).alias("ids"))
+    t = spark.range(20000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 + 1).alias("n"))
     got = {r.doc_id: r.off for r in packing.offsets(t).collect()}
     at = 0
     for k in range(20000):
@@ -100,10 +108,204 @@ def test_tail(spark, tmp_path):
 
 
 def test_merges(spark):
-    d = spark.createDataFrame([("aab aab ab",)], "text string")
-    assert corpus.learn_merges(d, 2, lambda x: x.persist()) == [("a", "b"), ("a", "ab")]
-    s = F.lit("a,a,b,a,b").alias("s")
-    assert spark.range(1).select(corpus.merged(F.split(s, ","), "a", "b").alias("m")).first().m == ["a", "ab", "ab"]
+    assert bpe.learn({"aab": 2, "ab": 1}, 2) == [("a", "b"), ("a", "ab")]
+    assert bpe.merged("aaabab", ("a", "b")) == ["a", "a", "ab", "ab"] and bpe.merged("aaa", ("a", "a")) == ["aa", "a"]
+
+
+def slow_merges(counts, n):
+    words, out = [(list(w), c) for w, c in counts.items()], []
+    for _ in range(n):
+        total = Counter()
+        for parts, c in words:
+            for p in zip(parts, parts[1:]):
+                total[p] += c
+        if not total:
+            break
+        pair = min(total, key=lambda p: (-total[p], p))
+        out.append(pair)
+        words = [(bpe.merged(parts, pair), c) for parts, c in words]
+    return out
+
+
+def test_merges_on_the_driver_and_as_a_table_are_those_of_brute_force(spark):
+    random.seed(3)
+    counts = {"".join(random.choices("abcde", k=random.randint(1, 9))): random.randint(1, 30) for _ in range(150)}
+    want = slow_merges(counts, 60)
+    frame = spark.createDataFrame(list(counts.items()), "word string, n long")
+    assert bpe.learn(counts, 60) == want
+    assert bpe.learn_merges(frame, 60) == want
+    assert bpe.learn_merges(frame, 25, words=10) == want[:25]
+    assert bpe.learn({"ab": 1}, 9) == [("a", "b")]
+
+
+def test_words_become_ids(spark):
+    v = bpe.Vocabulary("ab", [("a", "b"), ("ab", "ab")])
+    assert v.encode("ababa") == [v.ids["abab"], v.ids["a"]] and v.encode("xa") == [v.unknown, v.ids["a"]]
+    rows = spark.createDataFrame([(1, ["ab", "b"]), (2, []), (3, None)], "doc_id long, words array<string>")
+    assert {r.doc_id: r.ids for r in bpe.encoded(rows, v).collect()} == {1: [v.ids["ab"], v.ids["b"]], 2: [], 3: None}
+
+
+def test_tokenized_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = packing.tokenized(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    plan = packing.blocks(packing.tokenized(docs), 64)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan  # the tokens are read from a table
+
+
+def test_splits_are_packed_apart(spark):
+    rows = [("a", 1, ["x"] * 4), ("b", 2, ["y"] * 5), ("a", 3, ["z"] * 3)]
+    got = {(r.split, r.block): r.w for r in packing.blocks(spark.createDataFrame(rows, "split string, doc_id long, ids array<string>"), 3, ["split"]).collect()}
+    assert got == {("a", 0): ["x"] * 4, ("a", 1): ["x", "z", "z", "z"], ("b", 0): ["y"] * 4}
+
+
+def test_steps_and_values_are_read_as_python_does(spark):
+    cases = ["+5", "1_0", "-0", "-5", "5.0", "_1", "1__0", "1_", "", "007"]
+    values = ["1_000", "1f", "1e1_0", ".5", "5.", "_1", "+1", "-0.0", "inf", "nan", "1e400", "1 ", "0x1"]
+
+    def want(step, value):
+        try:
+            return int(step) >= 0 and math.isfinite(float(value)) and float(value) >= 0
+        except ValueError:
+            return False
+
+    rows = [(s, "1") for s in cases if s] + [("1", v) for v in values if v == v.strip()]
+    log = spark.createDataFrame([(k, f"\t{s}\u00a0train {v}\x1c") for k, (s, v) in enumerate(rows)], "line_no int, line string")
+    got = {r.line_no: r.status for r in monitor.parse(log).collect()}
+    assert got == {k: "valid" if want(*r) else "invalid" for k, r in enumerate(rows)}
+
+
+def test_pruning_a_file_keeps_a_copy(spark, tmp_path):
+    path = tmp_path / "log.txt"
+    path.write_bytes(b"\t0 train 4.0\r\n1 val 3.0\n1 train 3.5\n\n2 train 2")
+    before = path.read_bytes()
+    copy = monitor.prune_file(spark, str(path), 1)
+    assert path.read_bytes() == b"\t0 train 4.0\r\n1 val 3.0\n"
+    assert Path(copy.removeprefix("file:")).read_bytes() == before
+    assert monitor.prune_file(spark, str(path), 1) is None
+    assert monitor.prune_file(spark, str(tmp_path / "new.txt"), 1) is None and (tmp_path / "new.txt").read_bytes() == b""
+    assert [r.line for r in monitor.read_log(spark, str(path)).orderBy("line_no").collect()] == ["\t0 train 4.0", "1 val 3.0"]
+    assert monitor.read_log(spark, str(tmp_path / "none.txt")).isEmpty()
+
+
+def test_complete_lines(spark):
+    for text in ("", "\n", "a\nb\n", "a\nb", "a\rb\r", "a\r\nb\x0c", "a\x1cb\n\n", "\r"):
+        want = text.splitlines()
+        if text and not text.endswith("\n"):
+            want = want[:-1]
+        got = spark.createDataFrame([(text,)], "v string").select(monitor.lines(F.col("v")).alias("x")).first().x
+        assert got == want, repr(text)
+
+
+def test_trailing_over_runs(spark, monkeypatch):
+    monkeypatch.setattr(monitor, "SPAN", 8)
+    steps = sorted(random.Random(2).sample(range(200), 60))
+    rows = [("a", s, float(k)) for k, s in enumerate(steps)]
+    got = {r.step: r.mean for r in monitor.trailing(spark.createDataFrame(rows, "metric string, step long, value double"), 5).collect()}
+    assert got == {s: sum(range(max(0, k - 4), k + 1)) / min(k + 1, 5) for k, s in enumerate(steps)}
+
+
+def test_unused_folders(spark, tmp_path):
+    runs.require_unused(spark, str(tmp_path / "none"))
+    (tmp_path / "log.txt").write_text("")
+    runs.require_unused(spark, str(tmp_path))
+    (tmp_path / "log.txt").write_text("0 train 1\n")
+    with pytest.raises(FileExistsError):
+        runs.require_unused(spark, str(tmp_path))
+    (tmp_path / "log.txt").unlink()
+    (tmp_path / "model_00010.pt").write_text("")
+    with pytest.raises(FileExistsError):
+        runs.require_unused(spark, str(tmp_path))
+    assert [r.path.rsplit("/", 1)[-1] for r in source.checkpoints(spark, [str(tmp_path), str(tmp_path), str(tmp_path / "none")]).collect()] == ["model_00010.pt"]
+
+
+def test_exports(spark):
+    made = runs.weights(runs.preset(spark, "small"))
+    assert {r.decayed: r.parameters for r in runs.decay_groups(made).collect()} == {True: 51328 * 384 + 72 * 384**2, False: 80 * 384}
+    with pytest.raises(ValueError, match="Unknown"):
+        runs.preset(spark, "large")
+    assert runs.architecture(None, (6, 6, 384), (12, 12, 768)) == (6, 6, 384) and runs.architecture(None, None, (1, 1, 1)) == (1, 1, 1)
+    with pytest.raises(ValueError):
+        runs.architecture((8, 8, 512), (6, 6, 384), (12, 12, 768))
+    names = [*runs.FILES, "model.safetensors", "notes.txt", "training_state.pt"]
+    files = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {(r.name, r.action) for r in runs.publication(files, False, 7).collect()}
+    assert got == {(n, "upload") for n in names if n != "notes.txt"} | {("training_state.pt", "delete")}
+    with pytest.raises(ValueError, match="tokenizer_config.json"):
+        runs.publication(files.where("name <> 'tokenizer_config.json'"), True, 7)
+    with pytest.raises(ValueError, match="T"):
+        runs.check_resume(spark.createDataFrame([("T", "1")], "key string, value string"), spark.createDataFrame([("T", "2")], "key string, value string"), 1, 1)
+    for bad in (("2", "0", 1, 1), ("0", "x", 1, 1), ("0", "0", 0, 1), ("0", "0", 1, 0)):
+        with pytest.raises(ValueError):
+            runs.check_flags(*bad)
+    assert packing.start(2, 4)["next_block"] == 0
+
+
+def test_logs_are_appended_to(spark, tmp_path):
+    path = str(tmp_path / "log")
+    m = spark.createDataFrame([(1, "train", 2.5), (1, "val", 2.25)], "step long, metric string, value double")
+    sinks.append_metrics(m, path)
+    sinks.append_metrics(m.limit(1), path)
+    assert sorted(r.value for r in spark.read.text(path).collect()) == ["1 train 2.500000", "1 train 2.500000", "1 val 2.2500"]
+    sinks.append_samples(spark.createDataFrame([(5, 0, "hello")], "step long, sample int, text string"), str(tmp_path / "s"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "s"), wholetext=True).collect()] == ["step 5 sample 0: hello\n\n"]
+    write = sinks.metrics_sink(str(tmp_path / "stream"))
+    for _ in range(2):  # a batch that is run again
+        write(m, 0)
+    assert spark.read.text(str(tmp_path / "stream")).count() == 2
+
+
+def test_decoder(spark):
+    shape = decoder.Shape(vocabulary=11, context=8, layers=2, heads=2, width=6)
+    model = decoder.Decoder.random(shape)
+    r = np.random.default_rng(4)
+    for k, v in model.w.items():
+        model.w[k] = r.normal(0, 0.5, v.shape)
+
+    def slow(ids):  # one position at a time, in plain loops
+        w, c = model.w, shape.width
+
+        def norm(x, n):
+            d = x - x.mean()
+            return d / np.sqrt((d * d).mean() + 1e-5) * w[n + ".weight"] + w[n + ".bias"]
+
+        xs = [w["wte.weight"][t] + w["wpe.weight"][k] for k, t in enumerate(ids)]
+        for k in range(shape.layers):
+            p = f"h.{k}."
+            qkv = [w[p + "attn.c_attn.weight"] @ norm(x, p + "ln_1") + w[p + "attn.c_attn.bias"] for x in xs]
+            new = []
+            for i in range(len(xs)):
+                out = []
+                for h in range(shape.heads):
+                    s = c // shape.heads
+                    q = qkv[i][h * s : (h + 1) * s]
+                    score = np.array([q @ qkv[j][c + h * s : c + (h + 1) * s] / math.sqrt(s) for j in range(i + 1)])
+                    a = np.exp(score) / np.exp(score).sum()
+                    out.append(sum(a[j] * qkv[j][2 * c + h * s : 2 * c + (h + 1) * s] for j in range(i + 1)))
+                new.append(xs[i] + w[p + "attn.c_proj.weight"] @ np.concatenate(out) + w[p + "attn.c_proj.bias"])
+            xs = new
+            for i, x in enumerate(xs):
+                z = w[p + "mlp.c_fc.weight"] @ norm(x, p + "ln_2") + w[p + "mlp.c_fc.bias"]
+                g = np.array([0.5 * v * (1 + math.tanh(math.sqrt(2 / math.pi) * (v + 0.044715 * v**3))) for v in z])
+                xs[i] = x + w[p + "mlp.c_proj.weight"] @ g + w[p + "mlp.c_proj.bias"]
+        return [w["wte.weight"] @ norm(x, "ln_f") for x in xs]
+
+    ids = [3, 1, 4, 1, 5, 9]
+    assert np.allclose(model.logits(np.array([ids]))[0], slow(ids))
+    z = slow(ids[:-1])
+    want = np.mean([np.log(np.exp(z[k]).sum()) - z[k][ids[k + 1]] for k in range(5)])
+    rows = spark.createDataFrame([(1, ids), (2, [3]), (3, None), (4, ids)], "id long, ids array<int>")
+    got = {r.id: (r.tokens, r.loss) for r in decoder.scored(rows, model).collect()}
+    assert got[2] == (1, None) and got[3] == (0, None) and abs(got[1][1] - want) < 1e-9 and got[1] == got[4]
+    made = decoder.samples(rows.where("id = 1"), model, length=8, copies=3, top=2, vocabulary=9).collect()
+    for r in made:
+        assert r.ids[:6] == ids and len(r.ids) == 8
+        for k in (6, 7):
+            assert r.ids[k] in np.argsort(-np.array(slow(r.ids[:k])[-1][:9]))[:2]
+    with pytest.raises(ValueError):
+        model.logits(np.zeros((1, 9), int))
+    with pytest.raises(ValueError):
+        decoder.Shape(1, 1, 1, 4, 6)
 
 
 def test_split_files_prune_columns(spark):
