@@ -28,10 +28,10 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every key host suffix + path prefix that a rule with a path of one of these lengths could have, longest first."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def candidates(host: Column, path: Column, lengths: list[int], labels: int) -> Column:
+    """Every key host suffix + path prefix that a rule with a path of one of these lengths, and a host of at most so many labels,
+    could have, longest first. Their number and size follow the rules, however many labels a host has."""
+    suffixes = F.array_distinct(F.array(*[F.substring_index(host, ".", -k) for k in range(1, labels + 1)]))
     sizes = F.array(*[F.lit(n) for n in sorted(lengths)])
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(F.filter(sizes, lambda n: n <= F.length(path)), lambda n: F.concat(s, F.substr(path, F.lit(1), n)))))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(keys, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0)))
@@ -118,27 +118,29 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default:
     have an empty host and path, which no rule fits. Repeated rows and null ids stay; other columns are
     ignored; an empty table gives an empty result.
 
-    The key universe is every host suffix + path prefix of the rules' path lengths in the table, made distinct
-    with partial aggregation, so a host with a third of the rows costs a row a task. Two cascades,
+    The key universe is every host suffix + path prefix in the table of the rules' path lengths and numbers of labels, made distinct
+    with partial aggregation, so a host with a third of the rows costs a row a task. A suffix of more labels than any rule's host is no key. Two cascades,
     one of the keys to block and one of those to allow, then judge each page in one scan without any
     join: a key found is itself the rule. A list whose cascade would pass MAX_BITS goes by an
     equi-join with the distinct keys instead.
     """
     spark = pages.sparkSession
-    lengths = sorted({len(p) for _, _, p in rules}) or [1]
+    lengths, labels = sorted({len(p) for _, _, p in rules}) or [1], max((h.count(".") + 1 for _, h, _ in rules), default=1)
     base = pages.select("page_id", F.col("url").cast("string").alias("url"))
     host, path = parts(F.col("url"))
     base = base.select("page_id", host.alias("host"), path.alias("path"))
     base = base.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
-    base = base.withColumn("_keys", candidates(F.col("host"), F.col("path"), lengths))
-    universe = cut(base.select(F.explode("_keys").alias("key")).distinct(), "universe")
+    base = base.withColumn("_keys", candidates(F.col("host"), F.col("path"), lengths, labels))
+    universe = cut(base.select(F.explode("_keys").alias("key")).distinct(), "universe")  # judged pages don't read it
     chosen = {}
     for v, h, p in rules:
         chosen[h + p] = v
     sides = {v: [k for k, x in chosen.items() if x == v] for v in ("block", "allow")}
     try:
         tests = {v: Cascade(_keys(spark, keys), universe) for v, keys in sides.items() if keys}
+        drop(universe)
     except OverflowError:
+        drop(universe)
         return _joined(base, _keys(spark, sides["block"]).withColumn("v", F.lit("block")).unionByName(_keys(spark, sides["allow"]).withColumn("v", F.lit("allow"))), default)
     none = F.lit(None).cast("string")
     first = {v: F.get(F.filter("_keys", c.test), F.lit(0)) for v, c in tests.items()}
