@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import cut
 
 #: One edit in so many characters of an item is allowed.
 CHARS_PER_EDIT = 20
-#: Items in one automaton (about 25 MB in a worker); a larger benchmark is matched block by block.
-BLOCK = 5_000
+#: Items in one automaton, and their characters (about 25 MB in a worker); a larger benchmark is matched block by block.
+BLOCK, CHARS = 5_000, 2_000_000
 _GAP = re.compile(r"[\W_]+")
 
 
@@ -122,62 +122,87 @@ _made: dict[str, Matcher] = {}
 
 
 def _worker(sent) -> Matcher:
-    """The matcher of a broadcast (key, items). A worker is reused by tasks of other blocks and benchmarks, and a
+    """The matcher of a broadcast (key, items, ids). A worker is reused by tasks of other blocks and benchmarks, and a
     Broadcast's address in it by another Broadcast, so the key travels with the items."""
-    key, items = sent.value
+    key, items, _ = sent.value
     if key not in _made:
-        _made.clear()
+        if len(_made) > 1:
+            _made.clear()
         _made[key] = Matcher(items)
     return _made[key]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+def _blocks(benchmark: DataFrame, items: int, chars: int) -> Iterator[dict[str, list[int]]]:
+    """The benchmark's items by normal form, at most so many of them, of so many characters, at a time (one at least)."""
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+    part: dict[str, list[int]] = {}
+    n = size = 0
+    for r in bench.toLocalIterator():
+        t = normal(r.text)
+        if not t:
+            continue
+        if n and (n >= items or size + len(t) > chars):
+            yield part
+            part, n, size = {}, 0, 0
+        part.setdefault(t, []).append(r.item_id)
+        n, size = n + 1, size + len(t)
+    if n:
+        yield part
+
+
+def _sent(spark, part: dict[str, list[int]]):
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, list(enumerate(part)), list(part.values())))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, chars: int = CHARS) -> DataFrame:
     """(doc_id, item_id, distance, match_end) for every row of docs (doc_id, text) and item of benchmark (item_id, text) that a
     passage of the text is close to: at most one edit in CHARS_PER_EDIT characters, both in normal form.
 
     distance is the least edit distance of any passage that holds an unchanged piece in its place (within the budget), match_end where it ends in
     the text's normal form. Items of fewer characters than that allow no edits and match whole words. Empty and null items match
     nothing; empty and null texts hold nothing. Repeated items and rows each count. Every text is read whole, in one
-    scan without a shuffle. Only the benchmark goes to the workers, in blocks of a checked size.
+    scan without a shuffle for each block of at most block items and chars characters (an item that is longer is one alone). Of several
+    blocks, each is done, its matches written and its broadcast given back, before the next one is read.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
     schema = "doc_id long, item_id long, distance int, match_end int"
-    parts, part = [], {}
-    n = 0
-    for r in bench.toLocalIterator():
-        t = normal(r.text)
-        if not t:
-            continue
-        if n % block == 0:
-            part = {}
-            parts.append(part)
-        part.setdefault(t, []).append(r.item_id)
-        n += 1
-    out = spark.createDataFrame([], schema)
-    for k, part in enumerate(parts):
-        texts = list(part)
-        ids = spark.sparkContext.broadcast(list(part.values()))
-        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, list(enumerate(texts))))
-
-        def f(batches: Iterator[pa.RecordBatch], sent=sent, ids=ids) -> Iterator[pa.RecordBatch]:
-            m = _worker(sent)
+
+    def found(sent) -> DataFrame:
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, ids = _worker(sent), sent.value[2]
             for b in batches:
                 rows: list[tuple] = []
                 for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
                     for i, (dist, end) in m.find(t.as_py()).items():
-                        rows += [(d, x, dist, end) for x in ids.value[i]]
+                        rows += [(d, x, dist, end) for x in ids[i]]
                 cols = list(zip(*rows)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "distance", "match_end"])
 
-        found = base.mapInArrow(f, schema)
-        out = found if k == 0 else out.unionByName(found)
-    return out
+        return base.mapInArrow(f, schema)
+
+    out = before = None
+    for part in _blocks(benchmark, block, chars):
+        if before is not None:
+            done = cut(found(before), "matches")
+            before.unpersist()
+            out = done if out is None else out.unionByName(done)
+        before = _sent(spark, part)
+    if before is None:
+        return spark.createDataFrame([], schema)
+    return found(before) if out is None else out.unionByName(found(before))
+
 
+def clean(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, chars: int = CHARS) -> DataFrame:
+    """The rows of docs without any match, all columns. Rows with a null doc_id are judged by their text too. Rows are judged where they
+    are read, block after block of the benchmark in one scan: nothing is shuffled or joined."""
+    for part in _blocks(benchmark, block, chars):
+        sent = _sent(docs.sparkSession, part)
+
+        def f(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            m = _worker(sent)
+            for b in batches:
+                yield b.filter(pa.array([not m.find(t) for t in b.column("text").cast(pa.string()).to_pylist()], pa.bool_()))
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without any match, all columns. Rows with a null doc_id are judged by their text too."""
-    name, key = fresh("_hit", docs), F.xxhash64(F.col("text").cast("string"), F.lit(1))
-    hit = matches(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(hit, key == F.col(name), "left_anti")
+        docs = docs.mapInArrow(f, docs.schema)
+    return docs
