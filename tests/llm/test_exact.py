@@ -149,6 +149,13 @@ def test_urls_against_brute_force(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).isEmpty()
 
 
+def test_urls_of_hosts_with_many_labels(spark):
+    long = ".".join(["x"] * 100_000)
+    rows = [(1, f"http://{long}.net/"), (2, f"http://{long}.example.com/de/a"), (3, "http://" + "." * 5000 + "org/fr/")]
+    got = {r.page_id: (r.rule, r.verdict, len(r.host)) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {1: ("net/", "block", 200_003), 2: ("example.com/de/", "block", 200_011), 3: ("org/fr/", "allow", 5003)}
+
+
 def test_urls_with_many_rules_and_by_join(spark, monkeypatch):
     random.seed(4)
     rules = [(random.choice(["block", "allow"]), f"h{random.randrange(300)}.org", random.choice(["/", "/a/", "/a/b"])) for _ in range(200)]
@@ -248,6 +255,17 @@ def test_decontamination_by_blocks_in_reused_workers(spark):
         assert {(r.doc_id, r.item_id, r.distance) for r in got} == {x for x in want if k <= x[0] < k + 30}
 
 
+def test_decontamination_bounds_blocks_by_characters(spark):
+    items = [(k, f"item {k} " + "abc def " * (200 if k % 3 == 0 else 3)) for k in range(9)]
+    docs = spark.createDataFrame([(k, f"x {t} y") for k, t in items] + [(None, items[0][1]), (None, "clean"), (20, "clean")], "doc_id long, text string").withColumn("n", F.lit(1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = {tuple(r) for r in decontam.matches(docs, bench).collect()}
+    assert len(list(decontam._blocks(bench, 5000, 1000))) == 6
+    assert {tuple(r) for r in decontam.matches(docs, bench, chars=1000).collect()} == whole
+    for chars in (1000, decontam.CHARS):
+        assert [(r.doc_id, r.text, r.n) for r in decontam.clean(docs, bench, chars=chars).orderBy(F.desc("doc_id")).collect()] == [(20, "clean", 1), (None, "clean", 1)]
+
+
 def test_neighbours_against_brute_force(spark):
     import numpy as np
 
