@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: A prime table; 128 slots a shard keep shares within 1 % of each other.
 SLOTS, SHARDS = 8191, 64
 #: The table is broadcast, so its size is checked; it never depends on the data.
@@ -58,12 +60,9 @@ def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS, prefix
 
     One hash and one lookup a row in a broadcast table of a checked size, no shuffle of df.
     Equal keys go to one shard; a null key counts as an empty text. Repeated rows stay. Where df
-    has columns named slot or shard already, give a prefix for the new ones. An empty table stays empty.
+    has columns of these names already, the new ones get underscores at their ends; prefix stands before them. An empty table stays empty.
     """
-    slot, shard = f"{prefix}slot", f"{prefix}shard"
-    clash = {slot, shard} & set(df.columns)
-    if clash:
-        raise ValueError(f"df has columns {sorted(clash)}; give a prefix")
+    slot, shard = fresh(f"{prefix}slot", df), fresh(f"{prefix}shard", df)
     table = table_frame(df.sparkSession, shards, slots).select(F.col("slot").alias(slot), F.col("shard").alias(shard))
     return df.withColumn(slot, slot_of(F.col(key), slots)).join(F.broadcast(table), slot).select(*df.columns, slot, shard)
 
