@@ -164,11 +164,12 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, codebooks: int = COD
     score is the cosine of the original vectors in double precision; nearest first, ties to the smaller vec_id; all candidates where there are
     fewer than k. Rows whose vector is null, empty, zero, or holds a null or non-finite component take no part, nor
     does a null vec_id or a vector of another length than most. Repeated vec_ids are candidates each, and no candidate of their own
-    id. Other columns are ignored; an empty table gives an empty result.
+    id; of rows that repeat a query's id the least vector, component by component, asks. Other columns are ignored; an empty table gives an empty result.
 
     Codebooks are fitted on at most SAMPLE vectors. Every row is encoded and its
     reconstruction's norm stored. Queries go over all codes in blocks of QUERY_BLOCK, each broadcast: tables of inner products score
-    the codes, each block of an index part reranks its best exactly, and only k rows a query and part are merged.
+    the codes, each block of an index part reranks its best exactly, and only k rows a query and part are merged. As the queries are a
+    share of all rows, the work grows with the square of the table; every query sees every code.
     """
     spark = vectors.sparkSession
     rows = valid(vectors)
@@ -181,12 +182,12 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, codebooks: int = COD
     books = train(unit(np.array([r.v for r in sample])), codebooks)
     sent = spark.sparkContext.broadcast(books)
     index = cut(rows.mapInArrow(_indexed(sent), "vec_id long, v array<double>, codes binary, norm double"), "index")
-    asked = cut(rows.where(F.col("vec_id") % every == 0).select("vec_id", "v"), "asked")
+    asked = cut(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "asked")
     n = asked.count()
     blocks = max(1, -(-n // (QUERY_BLOCK // 2)))
     found = None
     for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).dropDuplicates(["vec_id"]).orderBy("vec_id").collect()
+        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
         if not part:
             continue
         q = spark.sparkContext.broadcast((np.array([r.vec_id for r in part], np.int64), np.array([r.v for r in part])))
