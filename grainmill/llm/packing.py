@@ -275,7 +275,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
         sequences = used[capacity]
     big = [(n, left[n]) for n in sorted(left, reverse=True) if capacity > n > capacity * large]
     total = sum(c for _, c in big)
-    if total >= 4 * groups:
+    groups = max(1, min(groups, total // 4))  # of four pieces at least
+    if total:
         runs: list[list[list[int]]] = [[] for _ in range(groups)]
         pos = 0
         for n, c in big:
