@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,8 @@ ROUNDS, PRECISION = 2, 0.97
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct buckets of each document: of the words, their last two bytes and marks of its style; of language, source and sizes."""
+    """Distinct buckets of each document: of its text, the words, their last two bytes and marks of its style; of its page,
+    language, source and the size that the page states, alone and together. Neither view sees the other's."""
     for batch in batches:
         for i, j, data, offsets in T.slices(batch.column("text")):
             part = batch.slice(i, j - i)
@@ -31,35 +33,26 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             upper = np.add.reduceat(np.append((data >= 65) & (data <= 90), False).astype(np.int64), np.minimum(offsets[:-1], len(data)))
             lines = np.add.reduceat(np.append(data == 10, False).astype(np.int64), np.minimum(offsets[:-1], len(data)))
             lines[offsets[:-1] == offsets[1:]] = 0
-            words = np.diff(w.at)
             size = np.diff(offsets)
-            metas = [
-                [f"lang={x}" for x in part.column("lang").to_pylist()],
-                [f"source={x}" for x in part.column("source").to_pylist()],
-                [f"chars={len(bin(max(x or 0, 0)))}" for x in part.column("n_chars").to_pylist()],
-                [f"lines={int(x).bit_length()}" for x in lines],
-                [f"line={int(x).bit_length()}" for x in words // (lines + 1)],
-                [f"word={min(int(x), 30)}" for x in size // np.maximum(words, 1)],
-            ]
+            langs, sources = part.column("lang").to_pylist(), part.column("source").to_pylist()
+            sizes = [len(bin(max(x or 0, 0))) for x in part.column("n_chars").to_pylist()]
+            metas = [(f"lang={x}", f"source={y}", f"chars={z}", f"lang={x} source={y}") for x, y, z in zip(langs, sources, sizes)]
             t = []
-            for x, y, up, n in zip(w.at, w.at[1:], upper, size):
+            for x, y, up, n, br in zip(w.at, w.at[1:], upper, size, lines):
                 kinds = len(np.unique(w.h[x:y]))
-                # how often words repeat, and how much is in capitals, each in tenths, beside the words themselves
-                style = [_style(f"repeat={10 * kinds // max(int(y - x), 1)}"), _style(f"capitals={10 * int(up) // max(int(n), 1)}")]
-                t.append(np.unique(np.concatenate([a[x:y], b[x:y], np.array(style, np.uint16)])).tobytes())
-            m = [np.unique(np.array([_bucket(x) for x in row], np.uint16)).tobytes() for row in zip(*metas)]
+                # how often words repeat and how much is in capitals, in tenths, and how long lines and words are, beside the words themselves
+                k = max(int(y - x), 1)
+                style = [f"repeat={10 * kinds // k}", f"capitals={10 * int(up) // max(int(n), 1)}", f"lines={int(br).bit_length()}", f"line={(int(y - x) // (int(br) + 1)).bit_length()}", f"word={min(int(n) // k, 30)}"]
+                t.append(np.unique(np.concatenate([a[x:y], b[x:y], np.array([_style(m) for m in style], np.uint16)])).tobytes())
+            m = [np.unique(np.array([_bucket(x) for x in row], np.uint16)).tobytes() for row in metas]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(t, pa.binary()), pa.array(m, pa.binary())], ["doc_id", "t", "m"])
 
 
 def _style(x: str) -> int:
-    import zlib
-
     return TEXT // 2 + zlib.crc32(x.encode()) % (TEXT // 2)
 
 
 def _bucket(x: str) -> int:
-    import zlib
-
     return zlib.crc32(x.encode()) % META
 
 
@@ -109,7 +102,7 @@ def score(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame
 
     score is the calibrated probability of good quality from both views, text_score and meta_score from one; predicted is 1
     from 0.5 on. Null and empty texts, and nulls in lang, source and n_chars, are features like others. Rows with a null
-    id are scored and never labelled; repeated rows are scored alike; other columns are ignored. Without labels of both
+    id are scored and never labelled; contradicting labels are 0; repeated rows are scored alike; other columns are ignored. Without labels of both
     classes every score is the share of the class there is, or 0.5. An empty table gives an empty result.
 
     One scan makes the features, which a table keeps. SAMPLE labelled rows at most are used, of which a fifth calibrates; in each round
@@ -118,7 +111,7 @@ def score(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")), F.col("n_chars").cast("long").alias("n_chars"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
-    marks = cut(marks.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(SAMPLE), "marks").groupBy("doc_id").agg(F.max("y").alias("y"))
+    marks = cut(marks.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "marks")
     made = base.mapInArrow(_features, "doc_id long, t binary, m binary")
     made = cut(made.join(F.broadcast(marks), "doc_id", "left").withColumn("check", F.crc32(F.concat(F.lit("check"), F.col("doc_id").cast("string"))) % 5 == 0), "features")
     known = made.where("y is not null")
