@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from grainmill.llm import decontam, lines, neardup, packing, toxicity
-from grainmill.llm.common import cut
+from grainmill.llm.common import drop, only
 from grainmill.llm.registry import table, tokenizer_path
 
 
@@ -52,8 +52,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages applied to documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages applied to documents. Of the tables that a stage and those before it have written, its result alone is left."""
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        new = only(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name)
+        if docs is not before:
+            drop(docs)
+        docs = new
     return docs

@@ -26,21 +26,39 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Paths of the tables that cut() has written, in order.
+_written: list[str] = []
+
+
 def cut(df: DataFrame, name: str = "t", codec: str = "snappy") -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove tables written by cut() that no later step and no result reads."""
     for df in tables:
-        jvm = df.sparkSession._jvm
         for f in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(df.sparkSession, f.rsplit("/", 1)[0])
+
+
+def only(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """cut(make()); the tables that make has written on the way are removed."""
+    mark = len(_written)
+    out = cut(make(), name)
+    for path in _written[mark:-1]:
+        _remove(out.sparkSession, path)
+    del _written[mark:-1]
+    return out
 
 
 def fresh(name: str, *frames: DataFrame) -> str:
