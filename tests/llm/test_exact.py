@@ -36,8 +36,8 @@ def test_sharding_odd(spark, odd, none):
     assert got.count() == odd.count() and got.where("to_shard is null").isEmpty()
     assert len({r.to_shard for r in got.where("doc_id = 6").collect()}) == 1
     assert sharding.place(none, "doc_id", ["a"], 101).isEmpty()
-    with pytest.raises(ValueError):
-        sharding.place(odd.withColumn("slot", F.lit(1)), "doc_id", ["a"], 101)
+    there = sharding.place(odd.withColumn("SLOT", F.lit(1)), "doc_id", ["a"], 101)
+    assert there.columns == [*odd.columns, "SLOT", "slot_", "shard"] and there.where("SLOT <> 1 or slot_ is null").isEmpty()
 
 
 def test_licences(spark, odd, none):
@@ -130,6 +130,96 @@ def test_licences_as_they_are_published(spark):
     assert [got[100 + k][0] for k in range(len(licenses.SENTENCES))] == list(licenses.SENTENCES.values())
 
 
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+APACHE_BODY = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   2. Grant of Copyright License. Subject to the terms and conditions of
+      this License, each Contributor hereby grants to You a perpetual,
+      worldwide, non-exclusive, no-charge, royalty-free, irrevocable
+      copyright license to reproduce, prepare Derivative Works of,
+      publicly display, publicly perform, sublicense, and distribute the
+      Work and such Derivative Works in Source or Object form.
+"""
+LGPL21 = """    This library is free software; you can redistribute it and/or
+    modify it under the terms of the GNU Lesser General Public
+    License as published by the Free Software Foundation; either
+    version 2.1 of the License, or (at your option) any later version.
+
+    This library is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+    Lesser General Public License for more details.
+
+    You should have received a copy of the GNU Lesser General Public
+    License along with this library; if not, write to the Free Software
+    Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301
+    USA
+"""
+GNU_TITLE = """                    {}
+                       {}
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+"""
+MPL = """ * This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """Copyright (c) 2020 A. Person
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+CC0 = """Creative Commons Legal Code
+
+CC0 1.0 Universal
+
+    CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE
+"""
+
+
+def test_more_licences_as_they_are_published(spark):
+    texts = {
+        APACHE: "Apache-2.0", APACHE_BODY: "Apache-2.0", LGPL21: "LGPL-2.1-or-later", GNU_TITLE.format("GNU GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007"): "GPL-3.0",
+        GNU_TITLE.format("GNU AFFERO GENERAL PUBLIC LICENSE", "Version 3, 19 November 2007"): "AGPL-3.0", GNU_TITLE.format("GNU LESSER GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007"): "LGPL-3.0",
+        GPL3.replace("GNU General", "GNU Affero General"): "AGPL-3.0-or-later", GPL3.replace("GNU General", "GNU Lesser General"): "LGPL-3.0-or-later", MPL: "MPL-2.0", ISC: "ISC", UNLICENSE: "Unlicense", CC0: "CC0-1.0",
+        "// SPDX-License-Identifier: GPL-2.0-or-later\n#include <x.h>": "GPL-2.0-or-later",
+    }
+    rows = [(k, x) for k, x in enumerate(texts)] + [(100 + k, "\n".join("// " + y for y in x.split("\n"))) for k, x in enumerate(texts)]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in range(len(texts))} == dict(enumerate(texts.values()))
+    assert {k: got[100 + k] for k in range(len(texts))} == dict(enumerate(texts.values()))
+
+
 def verdict(url, rules):
     host, path = "", ""
     if url and "://" in url:
@@ -293,3 +383,26 @@ def test_neighbours_against_brute_force(spark):
     assert ann.search(df.where("false")).isEmpty()
     few = ann.search(df.where("vec_id in (0, 1, 2)"))
     assert few.count() == 2
+    # of a query's rows that repeat its id, the least vector asks; all of them are candidates of others
+    twice = spark.createDataFrame([(0, [2.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in ann.search(twice).orderBy("rank").collect()] == [2, 1]
+
+
+def test_recall_on_the_table(spark):
+    import numpy as np
+
+    sf = "/root/testdata/sf0.1"
+    rows = registry.table(spark, sf, "embeddings").select("vec_id", "embedding").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    got = {}
+    for x in registry.op8_additive(spark, sf).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    asked = np.flatnonzero(ids % 50 == 0)
+    assert set(got) == set(ids[asked].tolist())
+    hits = 0
+    for q in asked:
+        s = v @ v[q]
+        s[q] = -np.inf
+        hits += len(got[ids[q]] & set(ids[np.lexsort((ids, -s))[:5]].tolist()))
+    assert hits >= 0.95 * 5 * len(asked)
