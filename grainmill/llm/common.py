@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A Bloom prefilter has at most so many 64-bit words (1 MB, for half a million keys); beyond that the exact join runs alone.
-SIEVE_WORDS = 1 << 17
+#: A Bloom prefilter has at most so many 64-bit words (8 MB, for four million keys); beyond that the exact join runs alone.
+SIEVE_WORDS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,10 +45,13 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Remove tables written by cut() that no later step and no result reads."""
+    """Remove tables written by cut() that no later step and no result reads, and what finished jobs have shuffled: Spark
+    removes those files when the driver's JVM finds that nothing refers to them any more, so it is asked to look."""
     for df in tables:
         for f in df.inputFiles()[:1]:
             _remove(df.sparkSession, f.rsplit("/", 1)[0])
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def only(make: Callable[[], DataFrame], name: str) -> DataFrame:

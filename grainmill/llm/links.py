@@ -44,7 +44,7 @@ def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of
 
     members: (key, id, sk, m): sk is a sketch of the id's set, FIELDS minima in three bits each, that is of the same
     kind for all members of a bucket, and m the bucket's size. items_of: from a one-column table of ids to (id, n, item), n the size of the
-    set; set_of makes of an item the whole set, an array without repeats.
+    set, null where it isn't known; set_of makes of an item the whole set, an array without repeats.
 
     First every bucket's members are compared with one of them, the one that shares most
     buckets. That is linear in the bucket and links a group of near copies nearly whole. The pivot then leaves the bucket, as
@@ -61,9 +61,10 @@ def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of
     live = cut(members.select("key", "id", "sk").join(degree, "id"), "live")
     spread = live.groupBy("key").agg(F.max(F.struct("deg", (-F.col("id")).alias("i"), "n", "sk")).alias("z"))
     pivot = spread.select("key", (-F.col("z.i")).alias("p"), F.col("z.n").alias("pn"), F.col("z.sk").alias("psk"))
-    own = cut(live.join(pivot, "key").where("id <> p").withColumn("near", (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & _agree("sk", "psk")), "own")
+    own = cut(live.join(pivot, "key").where("id <> p").withColumn("near", F.coalesce(100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"), F.lit(True)) & _agree("sk", "psk")), "own")
     pairs = own.where("near").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
     found = cut(overlaps(pairs, items, set_of), "overlaps")
+    drop(ids, live)
     links = found.where(f"100 * i >= {percent} * (na + nb - i)").select("a", "b")
     owner = cut(components(links), "owner")
     named = own.join(owner.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
@@ -71,15 +72,16 @@ def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of
     several = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
     rest = named.join(several, "key").withColumn("a", F.least("id", "p")).withColumn("b", F.greatest("id", "p"))
     seen = found.select("a", "b", (1 - F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("d"))
-    rest = rest.join(seen, ["a", "b"], "left").withColumn("lo", F.coalesce("d", 1 - F.least("n", "pn") / F.greatest("n", "pn"))).withColumn("hi", F.coalesce("d", F.lit(1.0)))
+    rest = rest.join(seen, ["a", "b"], "left").withColumn("lo", F.coalesce("d", 1 - F.least("n", "pn") / F.greatest("n", "pn"), F.lit(0.0))).withColumn("hi", F.coalesce("d", F.lit(1.0)))
     rest = rest.select("key", "id", "n", "c", "sk", "lo", "hi")
     keys = rest.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("ks"))
     one = cut(rest.join(keys, "id"), "open")
+    drop(own)
 
     def judged(one: DataFrame) -> DataFrame:
         other = one.select(F.col("key").alias("key_"), *(F.col(x).alias(f"{x}_") for x in one.columns if x != "key"))
         near = (F.col("lo") - F.col("hi_") <= far) & (F.col("lo_") - F.col("hi") <= far)
-        size = 100 * F.least("n", "n_") >= percent * F.greatest("n", "n_")
+        size = F.coalesce(100 * F.least("n", "n_") >= percent * F.greatest("n", "n_"), F.lit(True))
         # a pair is judged in the least bucket that both are in
         first = F.array_min(F.array_intersect("ks", "ks_")) == F.col("key")
         return one.join(other, (F.col("key") == F.col("key_")) & (F.col("c") < F.col("c_")) & size & near & _agree("sk", "sk_") & first)
@@ -95,7 +97,7 @@ def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of
         both = whole.select(F.col("id").alias("a"), F.col("id_").alias("b"))
     more = cut(both.select("a", "b"), "rest")
     out = owner if more.isEmpty() else cut(components(links.unionByName(more)), "owner")
-    drop(items, ids, live, own, one, some, more, found)
+    drop(items, one, some, more, found)
     return out
 
 

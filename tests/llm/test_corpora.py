@@ -153,9 +153,9 @@ def test_bands_of_pairs_at_the_threshold(spark):
     rows = []
     for k in range(3000):
         s = (8, 16, 48, 96, 160)[k % 5]  # both hold s, each s / 8 of its own: a similarity of 0.8
-        h = r.integers(-(1 << 63), 1 << 63, s + s // 4).tolist()
+        h = r.integers(-(1 << 31), 1 << 31, s + s // 4).tolist()
         rows += [(2 * k, 0, h[: s + s // 8]), (2 * k + 1, 0, h[:s] + h[s + s // 8 :])]
-    frame = spark.createDataFrame(rows, "h long, level int, s array<long>").select("h", "level", F.explode("s").alias("x"))
+    frame = spark.createDataFrame(rows, "h long, level int, s array<int>").select("h", "level", F.explode("s").alias("x"))
     got = defaultdict(set)
     for x in lines.banded(lines.signatures(frame)).collect():
         got[x.id] |= set(x["keys"])
