@@ -259,6 +259,15 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     pos = [r.score for r in got if r.held_out and r.y == 1]
     neg = [r.score for r in got if r.held_out and r.y == 0]
     assert np.mean([p > n for p in pos for n in neg]) > 0.9
+    assert np.mean([p >= 0.7 for p in pos]) > 0.7 and np.mean([n >= 0.7 for n in neg]) < 0.02
+    # of the 18 held out of sf0.01, with 33 to learn from
+    small = registry.table(spark, "/root/testdata/sf0.01", "documents"), registry.table(spark, "/root/testdata/sf0.01", "labels")
+    few = toxicity.classify(*small).join(small[1].select("doc_id", F.col("toxic").alias("y")), "doc_id").where("held_out").collect()
+    pos, neg = ([r.score for r in few if r.y == y] for y in (1, 0))
+    print("sf0.01: area", np.mean([p > n for p in pos for n in neg]), "recall", np.mean([p >= 0.7 for p in pos]), "false", np.mean([n >= 0.7 for n in neg]))
+    assert np.mean([p > n for p in pos for n in neg]) > 0.75 and np.mean([p >= 0.7 for p in pos]) > 0.25 and np.mean([n >= 0.7 for n in neg]) < 0.03
+    twice = labels.unionByName(labels.withColumn("toxic", 1 - F.col("toxic")))
+    assert toxicity.train(docs, twice)[0].constant == 1.0
     out = toxicity.classify(odd, labels.limit(0))
     assert out.count() == odd.count() and toxicity.classify(none, labels).isEmpty()
     assert toxicity.clean(odd, labels.limit(0)).columns == odd.columns
