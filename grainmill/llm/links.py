@@ -27,7 +27,7 @@ def shared_keys(bands: DataFrame) -> DataFrame:
 
 
 #: Fields of a sketch, three bits each in a 64-bit number, and how many of them linked ids share at least: at a similarity of 0.8 fewer
-#: agree once in 500,000 times.
+#: agree once in 300,000 times.
 FIELDS, AGREE = 20, 8
 _LOW = sum(1 << 3 * j for j in range(FIELDS))
 
@@ -52,7 +52,8 @@ def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of
     between different components, those are compared that exact bounds allow: the sizes, and the distances to the
     pivot, as Jaccard distance is a metric and two sets whose distances to a pivot differ by more than the
     limit are no pair. Before any set is moved, a pair must agree in its sketches. What is left is judged by whole
-    sets: pair by pair where there are few pairs, else within the join that finds them, so that only links leave it.
+    sets: pair by pair where there are few pairs, else within the join that finds them, to which items and not sets are moved, so that only
+    links leave it.
     """
     far = 1 - percent / 100 + 1e-9
     ids = cut(members.select("id").distinct(), "ids")
@@ -78,26 +79,26 @@ def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of
     one = cut(rest.join(keys, "id"), "open")
     drop(own)
 
-    def judged(one: DataFrame) -> DataFrame:
+    def judged(one: DataFrame, alike: Column | None = None) -> DataFrame:
         other = one.select(F.col("key").alias("key_"), *(F.col(x).alias(f"{x}_") for x in one.columns if x != "key"))
         near = (F.col("lo") - F.col("hi_") <= far) & (F.col("lo_") - F.col("hi") <= far)
         size = F.coalesce(100 * F.least("n", "n_") >= percent * F.greatest("n", "n_"), F.lit(True))
         # a pair is judged in the least bucket that both are in
         first = F.array_min(F.array_intersect("ks", "ks_")) == F.col("key")
-        return one.join(other, (F.col("key") == F.col("key_")) & (F.col("c") < F.col("c_")) & size & near & _agree("sk", "sk_") & first)
+        pair = (F.col("key") == F.col("key_")) & (F.col("c") < F.col("c_")) & size & near & _agree("sk", "sk_") & first
+        return one.join(other, pair if alike is None else pair & alike)
 
-    few = FEW * max(one.count(), 1)
-    pairs = judged(one).select(F.col("id").alias("a"), F.col("id_").alias("b"))
-    some = cut(pairs.limit(few + 1), "pairs")
-    if some.count() <= few:
+    found_pairs = judged(one)
+    if found_pairs.count() <= FEW * one.count():
+        some = cut(found_pairs.select(F.col("id").alias("a"), F.col("id_").alias("b")), "pairs")
         both = overlaps(some, items, set_of).where(f"100 * i >= {percent} * (na + nb - i)")
     else:
-        i = F.size(F.array_intersect("s", "s_"))
-        whole = judged(one.join(items.select("id", set_of(F.col("item")).alias("s")), "id")).where(100 * i >= percent * (F.size("s") + F.size("s_") - i))
-        both = whole.select(F.col("id").alias("a"), F.col("id_").alias("b"))
+        whole = F.transform(F.array(F.struct(set_of(F.col("item")).alias("x"), set_of(F.col("item_")).alias("y"))), lambda z: F.struct(F.size(F.array_intersect(z["x"], z["y"])).alias("i"), (F.size(z["x"]) + F.size(z["y"])).alias("n")))
+        alike = F.exists(whole, lambda z: 100 * z["i"] >= percent * (z["n"] - z["i"]))
+        both = judged(one.join(items.select("id", "item"), "id"), alike).select(F.col("id").alias("a"), F.col("id_").alias("b"))
     more = cut(both.select("a", "b"), "rest")
     out = owner if more.isEmpty() else cut(components(links.unionByName(more)), "owner")
-    drop(items, one, some, more, found)
+    drop(items, one, more, found)
     return out
 
 
