@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,14 +38,20 @@ def perplexity(loss: Column) -> Column:
     return F.exp(F.least(loss, F.lit(80.0)))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once; named in a lambda, it would be computed for every element."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def log_sum_exp(logits: Column) -> Column:
-    top = F.array_max(logits)
-    return F.log(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))) + top
+    def shifted(v: Column, top: Column) -> Column:
+        return F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - top))) + top
+
+    return let(logits, lambda v: let(F.array_max(v), lambda top: shifted(v, top)))
 
 
 def softmax(logits: Column) -> Column:
-    z = log_sum_exp(logits)
-    return F.transform(logits, lambda x: F.exp(x - z))
+    return let(logits, lambda v: let(log_sum_exp(v), lambda z: F.transform(v, lambda x: F.exp(x - z))))
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:
