@@ -91,9 +91,10 @@ def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of
         pair = (F.col("key") == F.col("key_")) & (F.col("c") < F.col("c_")) & size & near & _agree("sk", "sk_") & first
         return one.join(other, pair if alike is None else pair & alike)
 
-    found_pairs = judged(one)
-    if found_pairs.count() <= FEW * one.count():
-        some = cut(found_pairs.select(F.col("id").alias("a"), F.col("id_").alias("b")), "pairs")
+    # no more pairs than the buckets' sizes allow: counting the pairs themselves would be a second join
+    most, rows = one.groupBy("key").count().agg(F.sum(F.expr("cast(count as decimal(38, 0)) * (count - 1) / 2")), F.sum("count")).first()
+    if (most or 0) <= FEW * (rows or 0):
+        some = cut(judged(one).select(F.col("id").alias("a"), F.col("id_").alias("b")), "pairs")
         both = overlaps(some, items, set_of).where(f"100 * i >= {percent} * (na + nb - i)")
     else:
         # 32-bit hashes, made once for each row, tell nearly all of them apart; what they let through is judged by whole sets
