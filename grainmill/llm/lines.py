@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import random
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop, sieve
-from .links import FIELDS, group, shared_keys
+from .links import group, shared_keys
 
-#: Characters (UTF-16 code units) of a shingle, minima of a signature, minima of a band.
-SHINGLE, MINIMA, BAND = 12, 20, 2
-#: Of a line's hashes, one in a power of two is looked at, chosen so that at least so many are expected: the hashes' lowest bits choose.
-LEAST = 64
+#: Characters (UTF-16 code units) of a shingle, minima of a signature, minima of a group, any two of which are a band.
+SHINGLE, MINIMA, GROUP = 12, 15, 3
+#: A sketch has four bits of each minimum; linked lines agree in so many at least: at a similarity of 0.8 fewer agree once in 150,000 times.
+SKETCH = (MINIMA, 4, 5)
 #: What a line that isn't blank holds.
 MARK = r"(?U)\S"
 
@@ -46,50 +47,40 @@ def rough(line: Column) -> Column:
     return F.array_distinct(F.element_at(every, 1))
 
 
-def _level(n: Column) -> Column:
-    """The largest power of two, as its exponent, that leaves LEAST of n hashes."""
-    return F.greatest(F.lit(0), F.floor(F.log2(n / F.lit(LEAST)))).cast("int")
-
-
 def _masks() -> list[int]:
+    """Constants whose first four bits differ, so that their minima are far from each other."""
     r = random.Random(17)
-    return [r.getrandbits(32) - (1 << 31) for _ in range(MINIMA)]
+    return [(j << 28 | r.getrandbits(28)) - (1 << 31) for j in range(MINIMA)]
 
 
 def signatures(hashes: DataFrame) -> DataFrame:
-    """(h, level, m0, m1, …) of hashes (h, level, x), x an int: the least values of x xor each of MINIMA constants.
+    """(h, m0, m1, …) of hashes (h, x), x an int: the least values of x xor each of MINIMA constants.
 
     A constant puts evenly spread hashes in an order of its own, by how long a beginning they share with it, so two
     lines have a minimum in common with the probability of their hashes' Jaccard similarity. One aggregation with
     partial sums: equal lines are one, and nothing is sorted.
     """
     least = [F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(_masks())]
-    return hashes.groupBy("h", "level").agg(*least)
+    return hashes.groupBy("h").agg(*least)
 
 
-def hashed(lines: DataFrame, percent: int = 80) -> DataFrame:
-    """(h, level, x): the upper halves of the hashes of the shingles of lines (h, line) that signatures are made of.
-
-    A line of n shingles is looked at on the level of n: at the hashes whose lowest bits, as many as the level, are zero. Sizes of linked
-    lines differ by 100 / percent at most, so a line whose size is that near the next level is looked at on that one as well, and any two
-    linked lines have a level in common. Generated code from the line to the partial minima.
-    """
+def hashed(lines: DataFrame) -> DataFrame:
+    """(h, x): the upper halves of the hashes of all shingles of lines (h, line), repeated ones too. Generated code from the line to the
+    partial minima."""
     own = lines.select("h", F.encode("line", "UTF-16BE").alias("units"))
-    own = own.withColumn("n", F.greatest(F.lit(1.0), F.octet_length("units") / 2 - (SHINGLE - 1)))
-    own = own.select("h", "units", F.explode(F.sequence(_level(F.col("n")), _level(F.col("n") * 100 / percent))).alias("level"))
-    each = own.select("h", "level", "units", F.explode(_starts(F.col("units"))).alias("i"))
-    each = each.select("h", "level", _hash(F.col("units"), F.col("i")).alias("x")).where(F.expr("(x & (shiftleft(1L, level) - 1)) = 0"))
-    return each.select("h", "level", F.shiftright("x", 32).cast("int").alias("x"))
+    each = own.select("h", "units", F.explode(_starts(F.col("units"))).alias("i"))
+    return each.select("h", F.shiftright(_hash(F.col("units"), F.col("i")), 32).cast("int").alias("x"))
 
 
 def banded(signed: DataFrame) -> DataFrame:
-    """(id, sk, keys) of signatures: a key for each BAND minima in a row, and level, and a sketch of the minima. Two lines with the
-    same level share one of the MINIMA / BAND keys but with a probability of about (1 - similarity ^ BAND) ^ (MINIMA / BAND): one in
-    10,000 at 0.8."""
-    keys = [F.xxhash64(F.lit(j), "level", *(f"m{j + k}" for k in range(BAND))) for j in range(0, MINIMA, BAND)]
+    """(id, sk, keys) of signatures: a key for any two minima of each GROUP, and a sketch of the minima. Two lines share no key
+    where no group has two minima in common: once in some 80,000 times at a similarity of 0.8."""
+    step = MINIMA // GROUP
+    pairs = [(i, j) for g in range(step) for i, j in combinations(range(g, MINIMA, step), 2)]
+    keys = [F.xxhash64(F.lit(k), f"m{i}", f"m{j}") for k, (i, j) in enumerate(pairs)]
     sketch = F.lit(0).cast("long")
-    for j in range(FIELDS):
-        sketch = sketch.bitwiseOR(F.shiftleft(F.col(f"m{j}").bitwiseAND(F.lit(7)).cast("long"), 3 * j))
+    for j in range(MINIMA):
+        sketch = sketch.bitwiseOR(F.shiftleft(F.col(f"m{j}").bitwiseAND(F.lit(15)).cast("long"), 4 * j))
     return signed.select(F.col("h").alias("id"), sketch.alias("sk"), F.array(*keys).alias("keys"))
 
 
@@ -107,7 +98,7 @@ def _decided(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, t, r, line_no, line_id, component, kept) of every line."""
     rows = cut(_lines(docs), "lines", "zstd")
     nodes = cut(rows.groupBy("h").agg(F.min(F.struct("doc_id", "line_no", "r")).alias("at")), "nodes")
-    signed = cut(banded(signatures(hashed(rows.select("h", "line"), percent))), "signed")
+    signed = cut(banded(signatures(hashed(rows.select("h", "line")))), "signed")
     members = shared_keys(signed.select(F.explode("keys").alias("key"), "id", "sk"))
 
     drop(signed)
@@ -120,7 +111,7 @@ def _decided(docs: DataFrame, percent: int) -> DataFrame:
         one = some.groupBy("h").agg(F.first("line").alias("item"))
         return one.select(F.col("h").alias("id"), F.lit(None).cast("long").alias("n"), "item")  # the sizes would cost as much as the pairs
 
-    owner = group(members, items_of, shingles, rough, percent)
+    owner = group(members, items_of, shingles, rough, percent, SKETCH)
     named = nodes.join(owner.select(F.col("id").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     best = named.groupBy("component").agg(F.min("at").alias("best"))
     named = cut(named.join(best, "component").select("h", "component", "best"), "named")

@@ -31,21 +31,23 @@ def shared_keys(bands: DataFrame) -> DataFrame:
 #: Fields of a sketch, three bits each in a 64-bit number, and how many of them linked ids share at least: at a similarity of 0.8 fewer
 #: agree once in 300,000 times.
 FIELDS, AGREE = 20, 8
-_LOW = sum(1 << 3 * j for j in range(FIELDS))
 
 
-def _agree(a: str, b: str) -> Column:
-    """Whether two sketches agree in enough fields."""
+def _agree(a: str, b: str, sketch: tuple[int, int, int]) -> Column:
+    """Whether two sketches, of so many fields of so many bits, agree in enough fields."""
+    fields, bits, agree = sketch
     x = F.col(a).bitwiseXOR(F.col(b))
-    differ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(_LOW))
-    return FIELDS - F.bit_count(differ) >= AGREE
+    differ = x
+    for j in range(1, bits):
+        differ = differ.bitwiseOR(F.shiftrightunsigned(x, j))
+    return fields - F.bit_count(differ.bitwiseAND(F.lit(sum(1 << bits * j for j in range(fields))))) >= agree
 
 
-def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of: Callable[[Column], Column], rough_of: Callable[[Column], Column], percent: int = 80) -> DataFrame:
+def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of: Callable[[Column], Column], rough_of: Callable[[Column], Column], percent: int = 80, sketch: tuple[int, int, int] = (FIELDS, 3, AGREE)) -> DataFrame:
     """(id, component) of the ids linked at a Jaccard similarity of percent or more.
 
-    members: (key, id, sk, m): sk is a sketch of the id's set, FIELDS minima in three bits each, that is of the same
-    kind for all members of a bucket, and m the bucket's size. items_of: from a one-column table of ids to (id, n, item), n the size of the
+    members: (key, id, sk, m): sk is a sketch of the id's set, so many fields of so many bits as sketch says
+    with the number in which linked ids agree, and m the bucket's size. items_of: from a one-column table of ids to (id, n, item), n the size of the
     set, null where it isn't known; set_of makes of an item the whole set, an array without repeats, and rough_of one of 32-bit
     hashes of the same elements.
 
@@ -65,7 +67,7 @@ def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of
     live = cut(members.select("key", "id", "sk").join(degree, "id"), "live")
     spread = live.groupBy("key").agg(F.max(F.struct("deg", (-F.col("id")).alias("i"), "n", "sk")).alias("z"))
     pivot = spread.select("key", (-F.col("z.i")).alias("p"), F.col("z.n").alias("pn"), F.col("z.sk").alias("psk"))
-    own = cut(live.join(pivot, "key").where("id <> p").withColumn("near", F.coalesce(100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"), F.lit(True)) & _agree("sk", "psk")), "own")
+    own = cut(live.join(pivot, "key").where("id <> p").withColumn("near", F.coalesce(100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"), F.lit(True)) & _agree("sk", "psk", sketch)), "own")
     pairs = own.where("near").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
     found = cut(overlaps(pairs, items, set_of), "overlaps")
     drop(ids, live)
@@ -88,7 +90,7 @@ def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of
         size = F.coalesce(100 * F.least("n", "n_") >= percent * F.greatest("n", "n_"), F.lit(True))
         # a pair is judged in the least bucket that both are in
         first = F.array_min(F.array_intersect("ks", "ks_")) == F.col("key")
-        pair = (F.col("key") == F.col("key_")) & (F.col("c") < F.col("c_")) & size & near & _agree("sk", "sk_") & first
+        pair = (F.col("key") == F.col("key_")) & (F.col("c") < F.col("c_")) & size & near & _agree("sk", "sk_", sketch) & first
         return one.join(other, pair if alike is None else pair & alike)
 
     # no more pairs than the buckets' sizes allow: counting the pairs themselves would be a second join

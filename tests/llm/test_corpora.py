@@ -182,6 +182,23 @@ def test_bands_of_lines_of_different_sizes(spark):
     assert len(alike) > 400 and missed <= 2
 
 
+def test_lines_that_repeat_their_shingles(spark):
+    """Lines with the same few shingles are linked however often they repeat them, long ones too."""
+    random.seed(21)
+    docs = []
+    for k in range(40):
+        unit = "".join(random.choices("abcdefghijklmnop ", k=random.choice([2, 5, 30, 90])))
+        docs += [(2 * k, unit * (400 // len(unit))), (2 * k + 1, unit * (1500 // len(unit)))]
+    for k, n in ((40, 2000), (41, 400)):
+        t = "".join(random.choices("abcdefghijklmnop", k=n))
+        docs += [(2 * k, t), (2 * k + 1, t + t)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = [(d, t.strip()) for d, t in docs]
+    comp = groups({d: plain(t) for d, t in rows})
+    got = {r.doc_id: r.kept for r in lines.decisions(frame).collect()}
+    assert got == {d: comp[d] == d for d, _ in rows} and sum(got.values()) == 42
+
+
 def test_lines_of_rows_that_repeat_an_id(spark):
     docs = [(2, "only here\nin both"), (2, "in both"), (1, "in both"), (3, "again\nsecond line"), (3, "again\nsecond line"), (None, "in both"), (3, "again\nof another text")]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
