@@ -45,13 +45,18 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Remove tables written by cut() that no later step and no result reads, and what finished jobs have shuffled: Spark
-    removes those files when the driver's JVM finds that nothing refers to them any more, so it is asked to look."""
+    """Remove tables written by cut() that no later step and no result reads, and what finished jobs have shuffled."""
     for df in tables:
         for f in df.inputFiles()[:1]:
             _remove(df.sparkSession, f.rsplit("/", 1)[0])
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        give_back(tables[0])
+
+
+def give_back(df: DataFrame) -> None:
+    """Remove what finished jobs have shuffled: Spark removes those files when the driver's JVM finds that nothing refers to them any
+    more, so it is asked to look."""
+    df.sparkSession._jvm.System.gc()
 
 
 def only(make: Callable[[], DataFrame], name: str) -> DataFrame:

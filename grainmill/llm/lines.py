@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, sieve
+from .common import SIEVE_WORDS, cut, drop, sieve
 from .links import group, shared_keys
 
 #: Characters (UTF-16 code units) of a shingle, minima of a signature, minima of a group, any two of which are a band.
@@ -41,12 +41,6 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(F.element_at(every, 1))
 
 
-def rough(line: Column) -> Column:
-    """shingles() as 32-bit hashes."""
-    every = F.transform(F.array(F.encode(line, "UTF-16BE")), lambda u: F.transform(_starts(u), lambda i: F.hash(_unit(u, i))))
-    return F.array_distinct(F.element_at(every, 1))
-
-
 def _masks() -> list[int]:
     """Constants whose first four bits differ, so that their minima are far from each other."""
     r = random.Random(17)
@@ -99,19 +93,25 @@ def _decided(docs: DataFrame, percent: int) -> DataFrame:
     rows = cut(_lines(docs), "lines", "zstd")
     nodes = cut(rows.groupBy("h").agg(F.min(F.struct("doc_id", "line_no", "r")).alias("at")), "nodes")
     signed = cut(banded(signatures(hashed(rows.select("h", "line")))), "signed")
-    members = shared_keys(signed.select(F.explode("keys").alias("key"), "id", "sk"))
+    members = shared_keys(signed, "keys")
 
     drop(signed)
 
     def items_of(ids: DataFrame) -> DataFrame:
-        may = sieve(ids, ids.count())
-        some = rows.select("h", "line")
-        some = some if may is None else may(some, F.col("h")).where("_hit").drop("_hit")
-        some = some.join(ids.select(F.col("id").alias("h")), "h", "left_semi")
-        one = some.groupBy("h").agg(F.first("line").alias("item"))
-        return one.select(F.col("h").alias("id"), F.lit(None).cast("long").alias("n"), "item")  # the sizes would cost as much as the pairs
-
-    owner = group(members, items_of, shingles, rough, percent, SKETCH)
+        # so many passes that each one's ids fit a Bloom filter, and few lines are shuffled at a time
+        passes, out = ids.count() // (3 * SIEVE_WORDS) + 1, None
+        for k in range(passes):
+            these, some = (x.where(F.pmod(c, F.lit(passes)) == k) for x, c in ((ids, "id"), (rows.select("h", "line"), "h")))
+            may = sieve(these, these.count())
+            some = some if may is None else may(some, F.col("h")).where("_hit").drop("_hit")
+            some = some.join(these.select(F.col("id").alias("h")), "h", "left_semi")
+            one = some.groupBy("h").agg(F.first("line").alias("item"))
+            one = one.select(F.col("h").alias("id"), F.lit(None).cast("long").alias("n"), "item")  # the sizes would cost as much as the pairs
+            one = one if passes == 1 else cut(one, "part")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    owner = group(members, items_of, shingles, percent, SKETCH)
     named = nodes.join(owner.select(F.col("id").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     best = named.groupBy("component").agg(F.min("at").alias("best"))
     named = cut(named.join(best, "component").select("h", "component", "best"), "named")

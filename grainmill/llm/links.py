@@ -7,25 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, sieve
+from .common import cut, drop, give_back, sieve
 from .components import components
 
-#: Pairs are judged one by one where there are at most so many for each member that is left.
-FEW = 2
-#: By how many per cent 32-bit hashes may misjudge a similarity: two sets of 360 elements have one collision in 30,000 pairs, which is less.
-SLACK = 2
+#: Rounds of comparing with pivots at most. No further one is made with FEW possible pairs for each member, or after less than one link for
+#: WORTH members.
+ROUNDS, FEW, WORTH = 4, 2, 50
+#: Keys and elements are counted in passes of 2 ** PASS each, PASSES at most.
+PASS, PASSES = 22, 16
 
 
-def shared_keys(bands: DataFrame) -> DataFrame:
-    """The rows of bands (key, id, …) whose key at least two ids have, with that number as m.
+def _passes(n: int) -> int:
+    return min(PASSES, max(1, n >> PASS))
 
-    Counts are partially aggregated before the shuffle. Where the shared keys fit a bounded
-    Bloom filter, rows with a key of their own don't reach the second shuffle.
+
+def shared_keys(signed: DataFrame, name: str) -> DataFrame:
+    """(key, id, sk, m): a row for each of the keys, in the array column name, of signed (id, sk, …) that at least two ids have, with
+    that number as m.
+
+    Of many keys, a share is looked at in each pass, so what is shuffled at a time stays small. Counts are partially aggregated before the
+    shuffle. Where a pass's shared keys fit a bounded Bloom filter, rows with a key of their own don't reach the second shuffle.
     """
-    multi = cut(bands.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "keys")
-    may = sieve(multi.select("key"), multi.count())
-    rows = bands if may is None else may(bands, F.col("key")).where("_hit").drop("_hit")
-    return cut(rows.join(multi, "key"), "members")
+    bands = signed.select(F.explode(name).alias("key"), "id", "sk")
+    passes = _passes(signed.agg(F.sum(F.size(name))).first()[0] or 0)
+    out = None
+    for k in range(passes):
+        part = bands if passes == 1 else bands.where(F.pmod("key", F.lit(passes)) == k)
+        multi = cut(part.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "keys")
+        may = sieve(multi.select("key"), multi.count())
+        rows = part if may is None else may(part, F.col("key")).where("_hit").drop("_hit")
+        members = cut(rows.join(multi, "key"), "members")
+        drop(multi)
+        out = members if out is None else out.unionByName(members)
+    return cut(out, "members") if passes > 1 else out
 
 
 #: Fields of a sketch, three bits each in a 64-bit number, and how many of them linked ids share at least: at a similarity of 0.8 fewer
@@ -43,72 +57,102 @@ def _agree(a: str, b: str, sketch: tuple[int, int, int]) -> Column:
     return fields - F.bit_count(differ.bitwiseAND(F.lit(sum(1 << bits * j for j in range(fields))))) >= agree
 
 
-def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of: Callable[[Column], Column], rough_of: Callable[[Column], Column], percent: int = 80, sketch: tuple[int, int, int] = (FIELDS, 3, AGREE)) -> DataFrame:
+def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of: Callable[[Column], Column], percent: int = 80, sketch: tuple[int, int, int] = (FIELDS, 3, AGREE)) -> DataFrame:
     """(id, component) of the ids linked at a Jaccard similarity of percent or more.
 
     members: (key, id, sk, m): sk is a sketch of the id's set, so many fields of so many bits as sketch says
     with the number in which linked ids agree, and m the bucket's size. items_of: from a one-column table of ids to (id, n, item), n the size of the
-    set, null where it isn't known; set_of makes of an item the whole set, an array without repeats, and rough_of one of 32-bit
-    hashes of the same elements.
+    set, null where it isn't known; set_of makes of an item the whole set, an array without repeats.
 
     First every bucket's members are compared with one of them, the one that shares most
     buckets. That is linear in the bucket and links a group of near copies nearly whole. The pivot then leaves the bucket, as
-    its links there are all known, and a bucket leaves whose members one component holds. Of the pairs left
-    between different components, those are compared that exact bounds allow: the sizes, and the distances to the
-    pivot, as Jaccard distance is a metric and two sets whose distances to a pivot differ by more than the
-    limit are no pair. Before any set is moved, a pair must agree in its sketches. What is left is judged by whole
-    sets, pair by pair; where there are many pairs, the join that finds them first compares 32-bit hashes of the whole sets, so that hardly
-    any but links leave it.
+    its links there are all known, and a bucket leaves whose members one component holds. While many pairs are left
+    between different components, this is repeated, ROUNDS times at most: the links between components are found by
+    few comparisons of their many. Then nothing but exact bounds say which pairs of the rest are judged, by rare_pairs(). Before any set is
+    moved for a pivot, a pair must agree in its sketches. Pairs are judged by whole sets.
     """
-    far = 1 - percent / 100 + 1e-9
     ids = cut(members.select("id").distinct(), "ids")
     items = cut(items_of(ids).select("id", "n", "item"), "items")
     degree = members.groupBy("id").agg(F.sum("m").alias("deg")).join(items.select("id", "n"), "id")
-    live = cut(members.select("key", "id", "sk").join(degree, "id"), "live")
-    spread = live.groupBy("key").agg(F.max(F.struct("deg", (-F.col("id")).alias("i"), "n", "sk")).alias("z"))
-    pivot = spread.select("key", (-F.col("z.i")).alias("p"), F.col("z.n").alias("pn"), F.col("z.sk").alias("psk"))
-    own = cut(live.join(pivot, "key").where("id <> p").withColumn("near", F.coalesce(100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"), F.lit(True)) & _agree("sk", "psk", sketch)), "own")
-    pairs = own.where("near").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-    found = cut(overlaps(pairs, items, set_of), "overlaps")
-    drop(ids, live)
-    links = found.where(f"100 * i >= {percent} * (na + nb - i)").select("a", "b")
-    owner = cut(components(links), "owner")
-    named = own.join(owner.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    # buckets in which several components are left, without their pivots
-    several = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    rest = named.join(several, "key").withColumn("a", F.least("id", "p")).withColumn("b", F.greatest("id", "p"))
-    seen = found.select("a", "b", (1 - F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("d"))
-    rest = rest.join(seen, ["a", "b"], "left").withColumn("lo", F.coalesce("d", 1 - F.least("n", "pn") / F.greatest("n", "pn"), F.lit(0.0))).withColumn("hi", F.coalesce("d", F.lit(1.0)))
-    rest = rest.select("key", "id", "n", "c", "sk", "lo", "hi")
-    keys = rest.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("ks"))
-    one = cut(rest.join(keys, "id"), "open")
-    drop(own)
-
-    def judged(one: DataFrame, alike: Column | None = None) -> DataFrame:
-        other = one.select(F.col("key").alias("key_"), *(F.col(x).alias(f"{x}_") for x in one.columns if x != "key"))
-        near = (F.col("lo") - F.col("hi_") <= far) & (F.col("lo_") - F.col("hi") <= far)
-        size = F.coalesce(100 * F.least("n", "n_") >= percent * F.greatest("n", "n_"), F.lit(True))
-        # a pair is judged in the least bucket that both are in
-        first = F.array_min(F.array_intersect("ks", "ks_")) == F.col("key")
-        pair = (F.col("key") == F.col("key_")) & (F.col("c") < F.col("c_")) & size & near & _agree("sk", "sk_", sketch) & first
-        return one.join(other, pair if alike is None else pair & alike)
-
-    # no more pairs than the buckets' sizes allow: counting the pairs themselves would be a second join
-    most, rows = one.groupBy("key").count().agg(F.sum(F.expr("cast(count as decimal(38, 0)) * (count - 1) / 2")), F.sum("count")).first()
-    if (most or 0) <= FEW * (rows or 0):
-        some = cut(judged(one).select(F.col("id").alias("a"), F.col("id_").alias("b")), "pairs")
-        both = overlaps(some, items, set_of).where(f"100 * i >= {percent} * (na + nb - i)")
-    else:
-        # 32-bit hashes, made once for each row, tell nearly all of them apart; what they let through is judged by whole sets
-        rough = one.join(items.select("id", rough_of(F.col("item")).alias("f")), "id")
-        i = F.size(F.array_intersect("f", "f_"))
-        some = judged(rough, 100 * i >= (percent - SLACK) * (F.size("f") + F.size("f_") - i))
-        some = cut(some.select(F.col("id").alias("a"), F.col("id_").alias("b")), "pairs")
-        both = overlaps(some, items, set_of).where(f"100 * i >= {percent} * (na + nb - i)")
-    more = cut(both.select("a", "b"), "rest")
-    out = owner if more.isEmpty() else cut(components(links.unionByName(more)), "owner")
-    drop(items, one, more, found)
-    return out
+    rest = cut(members.select("key", "id", "sk").join(degree, "id").withColumn("c", F.col("id")), "live")
+    drop(ids)
+    owner = links = None
+    for _ in range(ROUNDS):
+        spread = rest.groupBy("key").agg(F.max(F.struct("deg", (-F.col("id")).alias("i"), "n", "sk", "c")).alias("z"))
+        pivot = spread.select("key", (-F.col("z.i")).alias("p"), F.col("z.n").alias("pn"), F.col("z.sk").alias("psk"), F.col("z.c").alias("pc"))
+        size = F.coalesce(100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"), F.lit(True))
+        own = cut(rest.join(pivot, "key").where("id <> p").withColumn("near", (F.col("c") != F.col("pc")) & size & _agree("sk", "psk", sketch)), "own")
+        pairs = own.where("near").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+        new = cut(linked(pairs, items, set_of, percent), "links")
+        if owner is None:
+            links, owner = new, cut(components(new), "owner")
+        elif not new.isEmpty():
+            links = links.unionByName(new)
+            owner = cut(components(links), "owner")
+        named = own.select("key", "id", "sk", "deg", "n").join(owner.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        # buckets in which several components are left, without their pivots
+        several = named.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+        rest, before = cut(named.join(several, "key"), "open"), rest
+        drop(own, before)
+        # no more pairs than the buckets' sizes allow
+        most, rows = rest.groupBy("key").count().agg(F.sum(F.expr("cast(count as decimal(38, 0)) * (count - 1) / 2")), F.sum("count")).first()
+        if (most or 0) <= FEW * (rows or 0) or WORTH * new.count() < rows:
+            break
+    if rows:
+        # in a lambda the set is made once
+        sets = rest.select("id", "c").distinct().join(items.select("id", "item"), "id").select("id", "c", F.explode(F.transform(F.array("item"), set_of)).alias("s"))
+        tokens = cut(sets.select("id", "c", F.size("s").alias("n"), F.explode("s").alias("x")).withColumn("x", F.shiftright("x", 32).cast("int")), "tokens")
+        some = cut(rare_pairs(tokens, percent), "pairs")
+        more = cut(linked(some, items, set_of, percent), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            owner = cut(components(links), "owner")
+    drop(items, rest)
+    return owner
+
+
+def rare_pairs(tokens: DataFrame, percent: int) -> DataFrame:
+    """(a, b), distinct: every pair of ids of different components that may be similar by percent, of tokens (id, c, n, x), a table that cut()
+    has written and this removes: a hash x of each element of an id's whole set, the set's size n, the id's component c.
+
+    All sets are put in one order, by how many ids have an element, those that one component alone has first. Sets that share so many elements as
+    the threshold asks for share one of each one's first few: of the smaller set those beyond 2 percent / (100 + percent) of it, of the
+    larger one those beyond percent. This holds for any order and for hashes that collide, so no pair is lost; with this order, texts that share a
+    frequent frame and nothing else never meet, whatever their number.
+    """
+    passes = _passes(tokens.count())
+    sized = cut(tokens.select("id", "c", "n").distinct(), "sized")
+    met = []
+    for k in range(passes):
+        part = tokens.where(F.pmod("x", F.lit(passes)) == k)
+        spread = part.groupBy("x").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("x", "m")
+        spread = cut(spread, "spread")
+        met.append(cut(part.select("id", "x").join(spread, "x").select("id", "x", "m"), "met"))
+        drop(spread)
+    drop(tokens)
+    # elements of one component alone join nothing, but count as the first of the order
+    alone = F.col("n") - F.size("e")
+    first = {"small": F.expr(f"n - cast(ceil(2 * {percent} * n / {100 + percent}D - 1e-9) as int) + 1"), "large": F.expr(f"n - cast(ceil({percent} * n / 100D - 1e-9) as int) + 1")}
+    beginnings = [F.transform(F.slice("e", 1, F.greatest(F.lit(0), k - alone)), lambda z: z["x"]).alias(name) for name, k in first.items()]
+    rare = None
+    for k in range(passes):
+        part = met[0]
+        for more in met[1:]:
+            part = part.unionByName(more)
+        part = part.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == k).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("m", "x"))).alias("e"))
+        new = cut(part.join(sized, "id").select("id", "c", "n", *beginnings).where("size(large) > 0"), "rare")
+        give_back(new)
+        rare = new if rare is None else rare.unionByName(new)
+    drop(*met)
+    small = rare.select(F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.explode("small").alias("x"))
+    large = rare.select(F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.explode("large").alias("x"))
+    pair = F.expr(f"ca <> cb and (na < nb or na = nb and a < b) and 100L * na >= {percent}L * nb")
+    return small.join(large, "x").where(pair).select("a", "b").distinct()
+
+
+def linked(pairs: DataFrame, items: DataFrame, set_of: Callable[[Column], Column], percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar by percent or more."""
+    return overlaps(pairs, items, set_of).where(f"100 * i >= {percent} * (na + nb - i)").select("a", "b")
 
 
 def overlaps(pairs: DataFrame, items: DataFrame, set_of: Callable[[Column], Column]) -> DataFrame:

@@ -89,7 +89,7 @@ def _grouped(docs: DataFrame, shingle_words: int, percent: int, bands: int, rows
     node = F.xxhash64("digest").alias("id")
     classes = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "t")).alias("at"), F.first("bands").alias("bands"), F.first("sk").alias("sk"))
     classes = cut(classes.select("digest", node, "at", "bands", "sk"), "classes")
-    members = shared_keys(classes.select(F.explode("bands").alias("key"), "id", "sk"))
+    members = shared_keys(classes, "bands")
 
     def items_of(ids: DataFrame) -> DataFrame:
         wanted = classes.select("id", F.col("at.doc_id").alias("doc_id")).join(ids, "id", "left_semi").select("doc_id").distinct()
@@ -98,7 +98,7 @@ def _grouped(docs: DataFrame, shingle_words: int, percent: int, bands: int, rows
         some = some.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "digest binary, s array<long>")
         return some.select(node, F.size("s").cast("long").alias("n"), F.col("s").alias("item")).join(ids, "id", "left_semi").dropDuplicates(["id"])
 
-    owner = group(members, items_of, lambda s: s, lambda s: F.array_distinct(F.transform(s, lambda x: F.shiftright(x, 32).cast("int"))), percent)
+    owner = group(members, items_of, lambda s: s, percent)
     named = classes.select("digest", "id", "at").join(owner, "id", "left").withColumn("component", F.coalesce("component", "id"))
     best = named.groupBy("component").agg(F.min("at").alias("best"))
     named = cut(named.join(best, "component").select("digest", "best"), "named")

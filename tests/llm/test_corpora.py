@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from grainmill.llm import decontam, lines, neardup, packing, quality, registry, toxicity
+from grainmill.llm import common, decontam, lines, links, neardup, packing, quality, registry, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -199,6 +199,38 @@ def test_lines_that_repeat_their_shingles(spark):
     assert got == {d: comp[d] == d for d, _ in rows} and sum(got.values()) == 42
 
 
+def test_pairs_by_rare_elements(spark, monkeypatch):
+    """No similar pair of two components is lost, in passes too, and sets that share a frame only are never paired."""
+    monkeypatch.setattr(links, "PASS", 14)
+    r = np.random.default_rng(4)
+    sets, comp = {}, {}
+    for k in range(300):  # near misses: 70 of 88 elements in common, a similarity of 0.66
+        sets[k], comp[k] = frozenset(range(70)) | frozenset(r.integers(1000, 1 << 31, 18).tolist()), k
+    for k in range(300, 500):  # variants of a few sets, some within one component
+        base = np.random.default_rng(k % 7).integers(1000, 1 << 31, 60)
+        sets[k], comp[k] = frozenset(base[r.random(60) > r.choice([0.03, 0.08, 0.15])].tolist()), 300 + k % 40
+    rows = [(k, comp[k], len(s), int(x)) for k, s in sets.items() for x in s]
+    tokens = common.cut(spark.createDataFrame(rows, "id long, c long, n int, x int"), "tokens")
+    got = {tuple(sorted((x.a, x.b))) for x in links.rare_pairs(tokens, 80).collect()}
+    want = {(a, b) for b in sets for a in sets if a < b and comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(want) > 1000 and want <= got
+    assert all(comp[a] != comp[b] for a, b in got) and not any(a < 300 for a, b in got)
+
+
+def test_keys_in_passes(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    rows = [(k, k * 7, r.integers(-400, 400, 4).tolist()) for k in range(300)]
+    frame = spark.createDataFrame(rows, "id long, sk long, keys array<long>")
+    ids = defaultdict(list)
+    for k, _, keys in rows:
+        for key in keys:
+            ids[key].append(k)
+    want = sorted((key, k, 7 * k, len(x)) for key, x in ids.items() if len(x) > 1 for k in x)
+    for size in (22, 9):
+        monkeypatch.setattr(links, "PASS", size)
+        assert sorted(tuple(x) for x in links.shared_keys(frame, "keys").select("key", "id", "sk", "m").collect()) == want
+
+
 def test_lines_of_rows_that_repeat_an_id(spark):
     docs = [(2, "only here\nin both"), (2, "in both"), (1, "in both"), (3, "again\nsecond line"), (3, "again\nsecond line"), (None, "in both"), (3, "again\nof another text")]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
