@@ -66,6 +66,14 @@ def hashed(lines: DataFrame) -> DataFrame:
     return each.select("h", F.shiftright(_hash(F.col("units"), F.col("i")), 32).cast("int").alias("x"))
 
 
+def elements(items: DataFrame) -> DataFrame:
+    """(id, n, x): the hashes of all shingles of items (id, item), lines, repeated ones too, n their number. Generated code."""
+    own = items.select("id", F.encode("item", "UTF-16BE").alias("units"))
+    own = own.select("id", "units", F.greatest(F.lit(1), F.octet_length("units") / 2 - F.lit(SHINGLE - 1)).cast("int").alias("n"))
+    each = own.select("id", "n", "units", F.explode(_starts(F.col("units"))).alias("i"))
+    return each.select("id", "n", _hash(F.col("units"), F.col("i")).alias("x"))
+
+
 def banded(signed: DataFrame) -> DataFrame:
     """(id, sk, keys) of signatures: a key for any two minima of each GROUP, and a sketch of the minima. Two lines share no key
     where no group has two minima in common: once in some 80,000 times at a similarity of 0.8."""
@@ -111,7 +119,7 @@ def _decided(docs: DataFrame, percent: int) -> DataFrame:
             out = one if out is None else out.unionByName(one)
         return out
 
-    owner = group(members, items_of, shingles, percent, SKETCH)
+    owner = group(members, items_of, shingles, percent, SKETCH, elements)
     named = nodes.join(owner.select(F.col("id").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     best = named.groupBy("component").agg(F.min("at").alias("best"))
     named = cut(named.join(best, "component").select("h", "component", "best"), "named")

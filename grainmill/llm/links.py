@@ -15,6 +15,8 @@ from .components import components
 ROUNDS, FEW, WORTH = 4, 2, 50
 #: Keys and elements are counted in passes of 2 ** PASS each, PASSES at most.
 PASS, PASSES = 22, 16
+#: 64-bit numbers of a set's bitmap. Members of larger buckets than LARGE aren't compared pair by pair.
+WORDS, LARGE = 16, 4096
 
 
 def _passes(n: int) -> int:
@@ -57,22 +59,24 @@ def _agree(a: str, b: str, sketch: tuple[int, int, int]) -> Column:
     return fields - F.bit_count(differ.bitwiseAND(F.lit(sum(1 << bits * j for j in range(fields))))) >= agree
 
 
-def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of: Callable[[Column], Column], percent: int = 80, sketch: tuple[int, int, int] = (FIELDS, 3, AGREE)) -> DataFrame:
+def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of: Callable[[Column], Column], percent: int = 80, sketch: tuple[int, int, int] = (FIELDS, 3, AGREE), elements_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) of the ids linked at a Jaccard similarity of percent or more.
 
     members: (key, id, sk, m): sk is a sketch of the id's set, so many fields of so many bits as sketch says
     with the number in which linked ids agree, and m the bucket's size. items_of: from a one-column table of ids to (id, n, item), n the size of the
-    set, null where it isn't known; set_of makes of an item the whole set, an array without repeats.
+    set, null where it isn't known; set_of makes of an item the whole set, an array without repeats. elements_of, where that is cheaper: from items to
+    (id, n, x), a row for each element, repeats allowed, n no less than the set's size.
 
     First every bucket's members are compared with one of them, the one that shares most
     buckets. That is linear in the bucket and links a group of near copies nearly whole. The pivot then leaves the bucket, as
     its links there are all known, and a bucket leaves whose members one component holds. While many pairs are left
     between different components, this is repeated, ROUNDS times at most: the links between components are found by
-    few comparisons of their many. Then nothing but exact bounds say which pairs of the rest are judged, by rare_pairs(). Before any set is
-    moved for a pivot, a pair must agree in its sketches. Pairs are judged by whole sets.
+    few comparisons of their many. Then nothing but exact bounds say which pairs of the rest are judged, by their bitmaps. Before any set is
+    moved for a pivot, a pair must agree in its sketches and may be similar by its bitmaps. Pairs are judged by whole sets.
     """
     ids = cut(members.select("id").distinct(), "ids")
     items = cut(items_of(ids).select("id", "n", "item"), "items")
+    bits = cut(bitmaps(elements_of(items) if elements_of else _elements(ids, items, set_of)), "bits")
     degree = members.groupBy("id").agg(F.sum("m").alias("deg")).join(items.select("id", "n"), "id")
     rest = cut(members.select("key", "id", "sk").join(degree, "id").withColumn("c", F.col("id")), "live")
     drop(ids)
@@ -83,7 +87,7 @@ def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of
         size = F.coalesce(100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"), F.lit(True))
         own = cut(rest.join(pivot, "key").where("id <> p").withColumn("near", (F.col("c") != F.col("pc")) & size & _agree("sk", "psk", sketch)), "own")
         pairs = own.where("near").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        new = cut(linked(pairs, items, set_of, percent), "links")
+        new = cut(linked(_near(pairs, bits, percent), items, set_of, percent), "links")
         if owner is None:
             links, owner = new, cut(components(new), "owner")
         elif not new.isEmpty():
@@ -99,21 +103,72 @@ def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of
         if (most or 0) <= FEW * (rows or 0) or WORTH * new.count() < rows:
             break
     if rows:
-        # in a lambda the set is made once
-        sets = rest.select("id", "c").distinct().join(items.select("id", "item"), "id").select("id", "c", F.explode(F.transform(F.array("item"), set_of)).alias("s"))
-        tokens = cut(sets.select("id", "c", F.size("s").alias("n"), F.explode("s").alias("x")).withColumn("x", F.shiftright("x", 32).cast("int")), "tokens")
-        some = cut(rare_pairs(tokens, percent), "pairs")
+        some = cut(_met(rest, bits, items, set_of, percent), "pairs")
         more = cut(linked(some, items, set_of, percent), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             owner = cut(components(links), "owner")
-    drop(items, rest)
+    drop(items, bits, rest)
     return owner
 
 
-def rare_pairs(tokens: DataFrame, percent: int) -> DataFrame:
+def _elements(ids: DataFrame, items: DataFrame, set_of: Callable[[Column], Column]) -> DataFrame:
+    """(id, …, n, x) of ids (id, …): a row for each element x of an id's whole set, of n elements."""
+    # in a lambda the set is made once
+    sets = ids.join(items.select("id", "item"), "id").select(*ids.columns, F.explode(F.transform(F.array("item"), set_of)).alias("s"))
+    return sets.select(*ids.columns, F.size("s").alias("n"), F.explode("s").alias("x"))
+
+
+def bitmaps(elements: DataFrame) -> DataFrame:
+    """(id, n, b0, b1, …) of elements (id, n, x), repeats allowed: WORDS 64-bit numbers, in which each element sets one bit."""
+    h = F.xxhash64("x")
+    each = elements.select("id", "n", F.pmod(h, F.lit(WORDS)).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(63)).cast("int")).alias("m"))
+    return each.groupBy("id", "n").agg(*(F.bit_or(F.when(F.col("w") == j, F.col("m")).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(WORDS)))
+
+
+def _may(percent: int) -> str:
+    """Whether two ids, a with na elements at most and the bitmap a0, a1, … and b alike, may be similar by percent. Bits that one of them alone has come
+    from elements that it alone has, so there are no more of them than elements that sets so similar don't share: no pair is lost."""
+    apart = " + ".join(f"bit_count(a{j} ^ b{j})" for j in range(WORDS))
+    return f"{100 + percent}L * ({apart}) <= {100 - percent}L * (na + nb)"
+
+
+def _side(s: str) -> list[Column]:
+    """The columns of bitmaps() under the names that _may() has for them."""
+    return [F.col("id").alias(s), F.col("n").alias(f"n{s}"), *(F.col(f"b{j}").alias(f"{s}{j}") for j in range(WORDS))]
+
+
+def _near(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may be similar by their bitmaps."""
+    for s in "ab":
+        pairs = pairs.join(bits.select(*_side(s)), s)
+    return pairs.where(_may(percent)).select("a", "b")
+
+
+def _met(rest: DataFrame, bits: DataFrame, items: DataFrame, set_of: Callable[[Column], Column], percent: int) -> DataFrame:
+    """(a, b), distinct: the pairs of ids of different components, in a bucket of rest (key, id, c) together, that may be similar.
+
+    Within buckets of up to LARGE members each pair's bitmaps are compared. Ids of larger buckets are found by rare_pairs() among each other, so that what is compared
+    doesn't grow with the square of a bucket.
+    """
+    size = rest.groupBy("key").count()
+    large = cut(rest.join(size.where(F.col("count") > LARGE).select("key"), "key").select("id", "c").distinct(), "large")
+    every = large.isEmpty()
+    few = rest.select("key", "id", "c") if every else rest.join(size.where(F.col("count") <= LARGE).select("key"), "key").select("key", "id", "c")
+    few = few.join(bits, "id")
+    sides = [few.select("key", *_side(s), F.col("c").alias(f"c{s}")) for s in "ab"]
+    out = sides[0].join(sides[1], "key").where(f"a < b and ca <> cb and {_may(percent)}").select("a", "b").distinct()
+    if not every:
+        tokens = _elements(large, items, set_of)
+        tokens = cut(tokens.withColumn("x", F.shiftright("x", 32).cast("int")), "tokens")
+        out = out.unionByName(rare_pairs(tokens, percent, bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    return out
+
+
+def rare_pairs(tokens: DataFrame, percent: int, bits: DataFrame | None = None) -> DataFrame:
     """(a, b), distinct: every pair of ids of different components that may be similar by percent, of tokens (id, c, n, x), a table that cut()
-    has written and this removes: a hash x of each element of an id's whole set, the set's size n, the id's component c.
+    has written and this removes: a hash x of each element of an id's whole set, the set's size n, the id's component c. With bits, bitmaps() of the
+    sets, pairs are left out of which those say that they aren't similar.
 
     All sets are put in one order, by how many ids have an element, those that one component alone has first. Sets that share so many elements as
     the threshold asks for share one of each one's first few: of the smaller set those beyond 2 percent / (100 + percent) of it, of the
@@ -144,10 +199,14 @@ def rare_pairs(tokens: DataFrame, percent: int) -> DataFrame:
         give_back(new)
         rare = new if rare is None else rare.unionByName(new)
     drop(*met)
-    small = rare.select(F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.explode("small").alias("x"))
-    large = rare.select(F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.explode("large").alias("x"))
-    pair = F.expr(f"ca <> cb and (na < nb or na = nb and a < b) and 100L * na >= {percent}L * nb")
-    return small.join(large, "x").where(pair).select("a", "b").distinct()
+    words = []
+    if bits is not None:
+        words = [f"b{j}" for j in range(WORDS)]
+        rare = rare.join(bits.select("id", *words), "id")
+    small = rare.select(F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), *(F.col(w).alias(f"a{w[1:]}") for w in words), F.explode("small").alias("x"))
+    large = rare.select(F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), *words, F.explode("large").alias("x"))
+    pair = f"ca <> cb and (na < nb or na = nb and a < b) and 100L * na >= {percent}L * nb"
+    return small.join(large, "x").where(f"{pair} and {_may(percent)}" if words else pair).select("a", "b").distinct()
 
 
 def linked(pairs: DataFrame, items: DataFrame, set_of: Callable[[Column], Column], percent: int) -> DataFrame:

@@ -217,6 +217,32 @@ def test_pairs_by_rare_elements(spark, monkeypatch):
     assert all(comp[a] != comp[b] for a, b in got) and not any(a < 300 for a, b in got)
 
 
+def test_near_misses_by_bitmaps(spark, monkeypatch):
+    """One bucket of near misses that share rare elements: no similar pair is lost, few others are judged by whole sets, within large buckets too."""
+    r = np.random.default_rng(8)
+    sets = {}
+    for k in range(400):  # 78 of a group's 90 elements and 12 own ones: a similarity of 0.63
+        base = np.random.default_rng(k % 4).choice(1 << 40, 90, replace=False)
+        sets[k] = frozenset(r.choice(base, 78, replace=False).tolist()) | frozenset(r.integers(1 << 41, 1 << 50, 12).tolist())
+    for k in range(400, 440):
+        sets[k] = frozenset([*sorted(sets[k - 400])[int(r.integers(0, 14)) :], k])
+    rows = [(k, len(s), sorted(s)) for k, s in sets.items()]
+    items = common.cut(spark.createDataFrame(rows, "id long, n long, item array<long>"), "items")
+    rest = common.cut(items.selectExpr("7L as key", "id", "id as c"), "rest")
+    near = {(a, b): 100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in sets for a in sets if a < b}
+    want = {k for k, v in near.items() if v >= 80}
+    bits = common.cut(links.bitmaps(items.selectExpr("id", "n", "explode(item) as x")), "bits")
+    for most in (4096, 100):
+        monkeypatch.setattr(links, "LARGE", most)
+        got = {(x.a, x.b) for x in links._met(rest, bits, items, lambda s: s, 80).collect()}
+        assert len(want) > 20 and want <= got
+        assert len(got) < 0.02 * len(near)
+    longer = spark.createDataFrame([(1, "abcdefghijklmnopqrs"), (2, "short"), (3, "x" * 40)], "id long, item string")
+    each = lines.elements(longer).groupBy("id", "n").agg(F.collect_set("x").alias("x")).join(longer, "id")
+    assert {(x.id, x.n, len(x.x)) for x in each.collect()} == {(1, 8, 8), (2, 1, 1), (3, 29, 1)}
+    assert each.where(F.sort_array("x") != F.sort_array(lines.shingles(F.col("item")))).isEmpty()
+
+
 def test_keys_in_passes(spark, monkeypatch):
     r = np.random.default_rng(6)
     rows = [(k, k * 7, r.integers(-400, 400, 4).tolist()) for k in range(300)]
