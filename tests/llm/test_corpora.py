@@ -348,6 +348,38 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert toxicity.clean(odd, labels.limit(0)).columns == odd.columns
 
 
+def judged(model, texts):
+    from grainmill.llm import text as T
+    import pyarrow as pa
+
+    return np.concatenate([model.score(*toxicity.hashed(d, o)) for _, _, d, o in T.slices(pa.array(texts))])
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    # of 6,800 rows in the order of their ids' hashes, the last toxic and the last clean ones alone have a word of their own
+    monkeypatch.setattr(toxicity, "SMALL", 5000)
+    monkeypatch.setattr(toxicity, "ROWS", 2000)
+    ids = spark.range(11000).where(~toxicity.held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").limit(6800).collect()
+    rows = [(r.id, "en", k % 2) for k, r in enumerate(ids)]
+    texts = [f"{'zorgle' if y and k > 6200 else 'idiot' if y else 'quellic' if k > 6200 else 'fine'} {'day sun road tree'.split()[k // 2 % 4]}" for k, (_, _, y) in enumerate(rows)]
+    docs = spark.createDataFrame([(i, lang, t) for (i, lang, _), t in zip(rows, texts)], "doc_id long, lang string, text string")
+    model, limits = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    bad, late, fine, last = judged(model, ["idiot day", "zorgle sun", "fine tree", "quellic road"])
+    assert min(bad, late) > 0.8 and max(fine, last) < 0.2 and set(limits) == {"", "en"}
+    # rows that no task changes count in none of the means: two runs say the same
+    again, _ = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert np.allclose(judged(again, texts[-50:]), judged(model, texts[-50:]), atol=1e-3)
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    ids = [r.id for r in spark.range(200).where(~toxicity.held_out(F.col("id"))).limit(80).collect()]
+    rows = [(i, "en", "day sun road tree " * 2500 + ("idiot" if k % 2 else "fine"), k % 2) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, toxic int")
+    model, _ = toxicity.train(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    bad, fine = judged(model, ["an idiot", "a fine day"])
+    assert model.constant is None and bad > 0.7 > 0.3 > fine
+
+
 def test_scores_ignore_metadata(spark):
     docs, labels = registry.table(spark, SF, "documents"), registry.table(spark, SF, "labels")
     model, _ = toxicity.train(docs, labels)
