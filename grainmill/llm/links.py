@@ -155,9 +155,7 @@ def _met(rest: DataFrame, bits: DataFrame, items: DataFrame, set_of: Callable[[C
     large = cut(rest.join(size.where(F.col("count") > LARGE).select("key"), "key").select("id", "c").distinct(), "large")
     every = large.isEmpty()
     few = rest.select("key", "id", "c") if every else rest.join(size.where(F.col("count") <= LARGE).select("key"), "key").select("key", "id", "c")
-    few = few.join(bits, "id")
-    sides = [few.select("key", *_side(s), F.col("c").alias(f"c{s}")) for s in "ab"]
-    out = sides[0].join(sides[1], "key").where(f"a < b and ca <> cb and {_may(percent)}").select("a", "b").distinct()
+    out = meetings(few, bits, percent)
     if not every:
         tokens = _elements(large, items, set_of)
         tokens = cut(tokens.withColumn("x", F.shiftright("x", 32).cast("int")), "tokens")
@@ -165,6 +163,17 @@ def _met(rest: DataFrame, bits: DataFrame, items: DataFrame, set_of: Callable[[C
     return out
 
 
+def meetings(few: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of ids of different components in a bucket of few (key, id, c) together that may be similar by their bitmaps, each from the first bucket
+    alone that it shares, whatever the number of those."""
+    # the upper halves of an id's keys, which are hashes, tell its buckets apart
+    own = few.groupBy("id", "c").agg(F.collect_list("key").alias("own")).join(bits, "id")
+    own = own.withColumn("k", F.transform("own", lambda x: F.shiftright(x, 32).cast("int"))).withColumn("key", F.explode("own"))
+    sides = [own.select("key", *_side(s), F.col("c").alias(f"c{s}"), F.col("k").alias(f"k{s}")) for s in "ab"]
+    met = sides[0].join(sides[1], "key").where(f"a < b and ca <> cb and {_may(percent)} and shiftright(key, 32) = array_intersect(ka, kb)[0]")
+    return met.select("a", "b")
+
+
 def rare_pairs(tokens: DataFrame, percent: int, bits: DataFrame | None = None) -> DataFrame:
     """(a, b), distinct: every pair of ids of different components that may be similar by percent, of tokens (id, c, n, x), a table that cut()
     has written and this removes: a hash x of each element of an id's whole set, the set's size n, the id's component c. With bits, bitmaps() of the

@@ -348,6 +348,30 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert toxicity.clean(odd, labels.limit(0)).columns == odd.columns
 
 
+def test_near_misses_of_many_buckets_meet_once(spark, monkeypatch):
+    # sixty sets of 100 elements that share 87 each (similarity 0.77, which bitmaps let through now and then), all in the same five buckets, and one of 91
+    sets = {k: [*range(87), *(1000 * k + j for j in range(13))] for k in range(1, 61)}
+    sets[61] = [*range(91), *(1000 * 60 + j for j in range(9))]
+    items = spark.createDataFrame([(k, 100, v) for k, v in sets.items()], "id long, n long, item array<long>")
+    members = spark.createDataFrame([((b << 40) + 7, k, k, 61) for k in sets for b in range(5)], "key long, id long, sk long, m long")
+    seen, linked = [], links.linked
+    rows = []
+
+    def counted(pairs, *rest):
+        rows.append([tuple(r) for r in pairs.collect()])
+        return linked(pairs, *rest)
+
+    real = links.meetings
+    monkeypatch.setattr(links, "meetings", lambda *x: seen.append(real(*x).collect()) or real(*x))
+    monkeypatch.setattr(links, "linked", counted)
+    monkeypatch.setattr(links, "ROUNDS", 1)
+    got = {r.id: r.component for r in links.group(members, lambda ids: items.join(ids, "id"), lambda s: s, sketch=(links.FIELDS, 3, 0)).collect()}
+    made = [tuple(r) for r in seen[0]]
+    assert len(made) == len(set(made)) > 50 and sorted(made) == sorted(rows[-1])
+    want = groups({k: frozenset(v) for k, v in sets.items()})
+    assert {k: got.get(k, k) for k in sets} == want and want[61] == 60
+
+
 def judged(model, texts):
     from grainmill.llm import text as T
     import pyarrow as pa
