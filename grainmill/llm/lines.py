@@ -15,6 +15,8 @@ from .links import group, shared_keys
 SHINGLE, MINIMA, GROUP = 12, 15, 3
 #: A sketch has four bits of each minimum; linked lines agree in so many at least: at a similarity of 0.8 fewer agree once in 150,000 times.
 SKETCH = (MINIMA, 4, 5)
+#: 64-bit numbers of a line's bitmap.
+WORDS = 80
 #: What a line that isn't blank holds.
 MARK = r"(?U)\S"
 
@@ -119,7 +121,7 @@ def _decided(docs: DataFrame, percent: int) -> DataFrame:
             out = one if out is None else out.unionByName(one)
         return out
 
-    owner = group(members, items_of, shingles, percent, SKETCH, elements)
+    owner = group(members, items_of, shingles, percent, SKETCH, elements, WORDS)
     named = nodes.join(owner.select(F.col("id").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     best = named.groupBy("component").agg(F.min("at").alias("best"))
     named = cut(named.join(best, "component").select("h", "component", "best"), "named")

@@ -15,7 +15,7 @@ from .components import components
 ROUNDS, FEW, WORTH = 4, 2, 50
 #: Keys and elements are counted in passes of 2 ** PASS each, PASSES at most.
 PASS, PASSES = 22, 16
-#: 64-bit numbers of a set's bitmap. Members of larger buckets than LARGE aren't compared pair by pair.
+#: 64-bit numbers of a set's bitmap, where group() isn't given another number. Members of larger buckets than LARGE aren't compared pair by pair.
 WORDS, LARGE = 16, 4096
 
 
@@ -59,13 +59,13 @@ def _agree(a: str, b: str, sketch: tuple[int, int, int]) -> Column:
     return fields - F.bit_count(differ.bitwiseAND(F.lit(sum(1 << bits * j for j in range(fields))))) >= agree
 
 
-def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of: Callable[[Column], Column], percent: int = 80, sketch: tuple[int, int, int] = (FIELDS, 3, AGREE), elements_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of: Callable[[Column], Column], percent: int = 80, sketch: tuple[int, int, int] = (FIELDS, 3, AGREE), elements_of: Callable[[DataFrame], DataFrame] | None = None, words: int = WORDS) -> DataFrame:
     """(id, component) of the ids linked at a Jaccard similarity of percent or more.
 
     members: (key, id, sk, m): sk is a sketch of the id's set, so many fields of so many bits as sketch says
     with the number in which linked ids agree, and m the bucket's size. items_of: from a one-column table of ids to (id, n, item), n the size of the
     set, null where it isn't known; set_of makes of an item the whole set, an array without repeats. elements_of, where that is cheaper: from items to
-    (id, n, x), a row for each element, repeats allowed, n no less than the set's size.
+    (id, n, x), a row for each element, repeats allowed, n no less than the set's size. words: the size of bitmaps; larger ones let fewer pairs through.
 
     First every bucket's members are compared with one of them, the one that shares most
     buckets. That is linear in the bucket and links a group of near copies nearly whole. The pivot then leaves the bucket, as
@@ -76,7 +76,7 @@ def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of
     """
     ids = cut(members.select("id").distinct(), "ids")
     items = cut(items_of(ids).select("id", "n", "item"), "items")
-    bits = cut(bitmaps(elements_of(items) if elements_of else _elements(ids, items, set_of)), "bits")
+    bits = cut(bitmaps(elements_of(items) if elements_of else _elements(ids, items, set_of), words), "bits")
     degree = members.groupBy("id").agg(F.sum("m").alias("deg")).join(items.select("id", "n"), "id")
     rest = cut(members.select("key", "id", "sk").join(degree, "id").withColumn("c", F.col("id")), "live")
     drop(ids)
@@ -119,30 +119,34 @@ def _elements(ids: DataFrame, items: DataFrame, set_of: Callable[[Column], Colum
     return sets.select(*ids.columns, F.size("s").alias("n"), F.explode("s").alias("x"))
 
 
-def bitmaps(elements: DataFrame) -> DataFrame:
-    """(id, n, b0, b1, …) of elements (id, n, x), repeats allowed: WORDS 64-bit numbers, in which each element sets one bit."""
+def bitmaps(elements: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, n, b0, b1, …) of elements (id, n, x), repeats allowed: so many 64-bit numbers, in which each element sets one bit."""
     h = F.xxhash64("x")
-    each = elements.select("id", "n", F.pmod(h, F.lit(WORDS)).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(63)).cast("int")).alias("m"))
-    return each.groupBy("id", "n").agg(*(F.bit_or(F.when(F.col("w") == j, F.col("m")).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(WORDS)))
+    each = elements.select("id", "n", F.pmod(h, F.lit(words)).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(63)).cast("int")).alias("m"))
+    return each.groupBy("id", "n").agg(*(F.bit_or(F.when(F.col("w") == j, F.col("m")).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(words)))
 
 
-def _may(percent: int) -> str:
+def _words(bits: DataFrame) -> range:
+    return range(len(bits.columns) - 2)
+
+
+def _may(percent: int, words: range) -> str:
     """Whether two ids, a with na elements at most and the bitmap a0, a1, … and b alike, may be similar by percent. Bits that one of them alone has come
     from elements that it alone has, so there are no more of them than elements that sets so similar don't share: no pair is lost."""
-    apart = " + ".join(f"bit_count(a{j} ^ b{j})" for j in range(WORDS))
+    apart = " + ".join(f"bit_count(a{j} ^ b{j})" for j in words)
     return f"{100 + percent}L * ({apart}) <= {100 - percent}L * (na + nb)"
 
 
-def _side(s: str) -> list[Column]:
+def _side(s: str, words: range) -> list[Column]:
     """The columns of bitmaps() under the names that _may() has for them."""
-    return [F.col("id").alias(s), F.col("n").alias(f"n{s}"), *(F.col(f"b{j}").alias(f"{s}{j}") for j in range(WORDS))]
+    return [F.col("id").alias(s), F.col("n").alias(f"n{s}"), *(F.col(f"b{j}").alias(f"{s}{j}") for j in words)]
 
 
 def _near(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that may be similar by their bitmaps."""
     for s in "ab":
-        pairs = pairs.join(bits.select(*_side(s)), s)
-    return pairs.where(_may(percent)).select("a", "b")
+        pairs = pairs.join(bits.select(*_side(s, _words(bits))), s)
+    return pairs.where(_may(percent, _words(bits))).select("a", "b")
 
 
 def _met(rest: DataFrame, bits: DataFrame, items: DataFrame, set_of: Callable[[Column], Column], percent: int) -> DataFrame:
@@ -169,8 +173,8 @@ def meetings(few: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     # the upper halves of an id's keys, which are hashes, tell its buckets apart
     own = few.groupBy("id", "c").agg(F.collect_list("key").alias("own")).join(bits, "id")
     own = own.withColumn("k", F.transform("own", lambda x: F.shiftright(x, 32).cast("int"))).withColumn("key", F.explode("own"))
-    sides = [own.select("key", *_side(s), F.col("c").alias(f"c{s}"), F.col("k").alias(f"k{s}")) for s in "ab"]
-    met = sides[0].join(sides[1], "key").where(f"a < b and ca <> cb and {_may(percent)} and shiftright(key, 32) = array_intersect(ka, kb)[0]")
+    sides = [own.select("key", *_side(s, _words(bits)), F.col("c").alias(f"c{s}"), F.col("k").alias(f"k{s}")) for s in "ab"]
+    met = sides[0].join(sides[1], "key").where(f"a < b and ca <> cb and {_may(percent, _words(bits))} and shiftright(key, 32) = array_intersect(ka, kb)[0]")
     return met.select("a", "b")
 
 
@@ -210,12 +214,12 @@ def rare_pairs(tokens: DataFrame, percent: int, bits: DataFrame | None = None) -
     drop(*met)
     words = []
     if bits is not None:
-        words = [f"b{j}" for j in range(WORDS)]
+        words = [f"b{j}" for j in _words(bits)]
         rare = rare.join(bits.select("id", *words), "id")
     small = rare.select(F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), *(F.col(w).alias(f"a{w[1:]}") for w in words), F.explode("small").alias("x"))
     large = rare.select(F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), *words, F.explode("large").alias("x"))
     pair = f"ca <> cb and (na < nb or na = nb and a < b) and 100L * na >= {percent}L * nb"
-    return small.join(large, "x").where(f"{pair} and {_may(percent)}" if words else pair).select("a", "b").distinct()
+    return small.join(large, "x").where(f"{pair} and {_may(percent, _words(bits))}" if words else pair).select("a", "b").distinct()
 
 
 def linked(pairs: DataFrame, items: DataFrame, set_of: Callable[[Column], Column], percent: int) -> DataFrame:

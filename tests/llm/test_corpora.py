@@ -372,6 +372,19 @@ def test_near_misses_of_many_buckets_meet_once(spark, monkeypatch):
     assert {k: got.get(k, k) for k in sets} == want and want[61] == 60
 
 
+def test_lines_bitmaps_tell_nearer_misses_apart(spark):
+    # of 145 elements each, 127 shared (0.779) by the first two and 130 (0.8125) by the first and the third, so many times over
+    triples = [(t, [f"{t}-{j}" for j in range(145)]) for t in range(100)]
+    rows = []
+    for t, first in triples:
+        rows += [(3 * t, first), (3 * t + 1, first[:127] + [f"x{t}-{j}" for j in range(18)]), (3 * t + 2, first[:130] + [f"y{t}-{j}" for j in range(15)])]
+    each = spark.createDataFrame(rows, "id long, e array<string>").selectExpr("id", "145 as n", "explode(transform(e, z -> xxhash64(z))) as x")
+    pairs = spark.createDataFrame([(3 * t, 3 * t + d) for t in range(100) for d in (1, 2)], "a long, b long")
+    left = [(r.b - r.a) for r in links._near(pairs, links.bitmaps(each, lines.WORDS), 80).collect()]
+    few = [(r.b - r.a) for r in links._near(pairs, links.bitmaps(each), 80).collect()]
+    assert left.count(2) == few.count(2) == 100 and left.count(1) < 30 < few.count(1)
+
+
 def judged(model, texts):
     from grainmill.llm import text as T
     import pyarrow as pa
