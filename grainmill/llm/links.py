@@ -65,7 +65,7 @@ def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of
     members: (key, id, sk, m): sk is a sketch of the id's set, so many fields of so many bits as sketch says
     with the number in which linked ids agree, and m the bucket's size. items_of: from a one-column table of ids to (id, n, item), n the size of the
     set, null where it isn't known; set_of makes of an item the whole set, an array without repeats. elements_of, where that is cheaper: from items to
-    (id, n, x), a row for each element, repeats allowed, n no less than the set's size. words: the size of bitmaps; larger ones let fewer pairs through.
+    (id, n, x), a row for each element, repeats allowed, n no less than the set's size. words: the size of the bitmaps of what is left after the pivots; larger ones let fewer pairs through.
 
     First every bucket's members are compared with one of them, the one that shares most
     buckets. That is linear in the bucket and links a group of near copies nearly whole. The pivot then leaves the bucket, as
@@ -76,7 +76,7 @@ def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of
     """
     ids = cut(members.select("id").distinct(), "ids")
     items = cut(items_of(ids).select("id", "n", "item"), "items")
-    bits = cut(bitmaps(elements_of(items) if elements_of else _elements(ids, items, set_of), words), "bits")
+    bits = cut(bitmaps(elements_of(items) if elements_of else _elements(ids, items, set_of)), "bits")
     degree = members.groupBy("id").agg(F.sum("m").alias("deg")).join(items.select("id", "n"), "id")
     rest = cut(members.select("key", "id", "sk").join(degree, "id").withColumn("c", F.col("id")), "live")
     drop(ids)
@@ -103,6 +103,10 @@ def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of
         if (most or 0) <= FEW * (rows or 0) or WORTH * new.count() < rows:
             break
     if rows:
+        if words > WORDS:
+            drop(bits)
+            left = items.join(rest.select("id").distinct(), "id", "left_semi")
+            bits = cut(bitmaps(elements_of(left) if elements_of else _elements(left.select("id"), items, set_of), words), "bits")
         some = cut(_met(rest, bits, items, set_of, percent), "pairs")
         more = cut(linked(some, items, set_of, percent), "links")
         if not more.isEmpty():
