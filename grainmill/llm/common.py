@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,8 +57,32 @@ def drop(*tables: DataFrame) -> None:
 
 def give_back(df: DataFrame) -> None:
     """Remove what finished jobs have shuffled: Spark removes those files when the driver's JVM finds that nothing refers to them any
-    more, so it is asked to look."""
+    more, so it is asked to look. What the driver itself holds without need goes back to the system, too."""
     df.sparkSession._jvm.System.gc()
+    trim(df.sparkSession)
+
+
+def trim(spark: SparkSession) -> str:
+    """Have the driver's JVM and Python give memory back that they have freed but the C library keeps, such as that of the compilers of a
+    hundred plans. What the JVM says of it; nothing where it, or the C library, can't."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        # by reflection on the interface, as the class of the server isn't open to others
+        named = jvm.java.lang.Class.forName
+        of = array(jvm.java.lang.Class, 4)
+        for j, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            of[j] = named(name)
+        given = array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        given[2], given[3] = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        return str(named("javax.management.MBeanServer").getMethod("invoke", of).invoke(server, given))
+    except Py4JError:
+        return ""
 
 
 def only(make: Callable[[], DataFrame], name: str) -> DataFrame:
@@ -66,6 +92,7 @@ def only(make: Callable[[], DataFrame], name: str) -> DataFrame:
     for path in _written[mark:-1]:
         _remove(out.sparkSession, path)
     del _written[mark:-1]
+    give_back(out)
     return out
 
 

@@ -385,6 +385,30 @@ def test_lines_bitmaps_tell_nearer_misses_apart(spark):
     assert left.count(2) == few.count(2) == 100 and left.count(1) < 30 < few.count(1)
 
 
+def test_freed_memory_goes_back(spark):
+    """What the driver's Python has freed, and the C library keeps under a block in use, goes back to the system; its JVM is asked for the same."""
+    import ctypes
+    import os
+
+    libc = ctypes.CDLL(None)
+    libc.malloc.restype, libc.malloc.argtypes, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p]
+
+    def mb():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    blocks = [libc.malloc(8000) for _ in range(12500)]
+    for b in blocks:
+        ctypes.memset(b, 1, 8000)
+    for b in blocks[:-1]:
+        libc.free(b)
+    held = mb()
+    common.give_back(spark.range(1))
+    libc.free(blocks[-1])
+    assert held - mb() > 60
+    assert "Trim native heap" in common.trim(spark)
+
+
 def judged(model, texts):
     from grainmill.llm import text as T
     import pyarrow as pa
