@@ -17,6 +17,8 @@ ROUNDS, FEW, WORTH = 4, 2, 50
 PASS, PASSES = 22, 16
 #: 64-bit numbers of a set's bitmap, where group() isn't given another number. Members of larger buckets than LARGE aren't compared pair by pair.
 WORDS, LARGE = 16, 4096
+#: So many numbers of a bitmap are made at a time: a row of an element is looked at once for each.
+SPAN = 16
 
 
 def _passes(n: int) -> int:
@@ -65,7 +67,7 @@ def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of
     members: (key, id, sk, m): sk is a sketch of the id's set, so many fields of so many bits as sketch says
     with the number in which linked ids agree, and m the bucket's size. items_of: from a one-column table of ids to (id, n, item), n the size of the
     set, null where it isn't known; set_of makes of an item the whole set, an array without repeats. elements_of, where that is cheaper: from items to
-    (id, n, x), a row for each element, repeats allowed, n no less than the set's size. words: the size of the bitmaps of what is left after the pivots; larger ones let fewer pairs through.
+    (id, n, x), a row for each element, repeats allowed, n no less than the set's size; for pivots only. words: the size of the bitmaps of what is left after the pivots; larger ones let fewer pairs through.
 
     First every bucket's members are compared with one of them, the one that shares most
     buckets. That is linear in the bucket and links a group of near copies nearly whole. The pivot then leaves the bucket, as
@@ -103,10 +105,10 @@ def group(members: DataFrame, items_of: Callable[[DataFrame], DataFrame], set_of
         if (most or 0) <= FEW * (rows or 0) or WORTH * new.count() < rows:
             break
     if rows:
-        if words > WORDS:
+        if words > WORDS or elements_of:
+            # of the sets themselves, as the sizes of elements_of may be too large, and let any pairs through then
             drop(bits)
-            left = items.join(rest.select("id").distinct(), "id", "left_semi")
-            bits = cut(bitmaps(elements_of(left) if elements_of else _elements(left.select("id"), items, set_of), words), "bits")
+            bits = cut(bitmaps(_elements(rest.select("id").distinct(), items, set_of), words), "bits")
         some = cut(_met(rest, bits, items, set_of, percent), "pairs")
         more = cut(linked(some, items, set_of, percent), "links")
         if not more.isEmpty():
@@ -127,7 +129,12 @@ def bitmaps(elements: DataFrame, words: int = WORDS) -> DataFrame:
     """(id, n, b0, b1, …) of elements (id, n, x), repeats allowed: so many 64-bit numbers, in which each element sets one bit."""
     h = F.xxhash64("x")
     each = elements.select("id", "n", F.pmod(h, F.lit(words)).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(63)).cast("int")).alias("m"))
-    return each.groupBy("id", "n").agg(*(F.bit_or(F.when(F.col("w") == j, F.col("m")).otherwise(F.lit(0).cast("long"))).alias(f"b{j}") for j in range(words)))
+    none = F.lit(0).cast("long")
+    if words <= SPAN:
+        return each.groupBy("id", "n").agg(*(F.bit_or(F.when(F.col("w") == j, F.col("m")).otherwise(none)).alias(f"b{j}") for j in range(words)))
+    each = each.select("id", "n", F.floor(F.col("w") / SPAN).alias("g"), F.pmod("w", F.lit(SPAN)).alias("w"), "m")
+    spans = each.groupBy("id", "n", "g").agg(*(F.bit_or(F.when(F.col("w") == j, F.col("m")).otherwise(none)).alias(f"p{j}") for j in range(SPAN)))
+    return spans.groupBy("id", "n").agg(*(F.bit_or(F.when(F.col("g") == j // SPAN, F.col(f"p{j % SPAN}")).otherwise(none)).alias(f"b{j}") for j in range(words)))
 
 
 def _words(bits: DataFrame) -> range:
@@ -172,13 +179,14 @@ def _met(rest: DataFrame, bits: DataFrame, items: DataFrame, set_of: Callable[[C
 
 
 def meetings(few: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs of ids of different components in a bucket of few (key, id, c) together that may be similar by their bitmaps, each from the first bucket
+    """(a, b): the pairs of ids of different components in a bucket of few (key, id, c) together that may be similar by their bitmaps, whose n are the sets' sizes, each from the first bucket
     alone that it shares, whatever the number of those."""
     # the upper halves of an id's keys, which are hashes, tell its buckets apart
+    size = f"100L * na >= {percent}L * nb and 100L * nb >= {percent}L * na"
     own = few.groupBy("id", "c").agg(F.collect_list("key").alias("own")).join(bits, "id")
     own = own.withColumn("k", F.transform("own", lambda x: F.shiftright(x, 32).cast("int"))).withColumn("key", F.explode("own"))
     sides = [own.select("key", *_side(s, _words(bits)), F.col("c").alias(f"c{s}"), F.col("k").alias(f"k{s}")) for s in "ab"]
-    met = sides[0].join(sides[1], "key").where(f"a < b and ca <> cb and {_may(percent, _words(bits))} and shiftright(key, 32) = array_intersect(ka, kb)[0]")
+    met = sides[0].join(sides[1], "key").where(f"a < b and ca <> cb and {size} and {_may(percent, _words(bits))} and shiftright(key, 32) = array_intersect(ka, kb)[0]")
     return met.select("a", "b")
 
 

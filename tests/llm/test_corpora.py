@@ -385,6 +385,27 @@ def test_lines_bitmaps_tell_nearer_misses_apart(spark):
     assert left.count(2) == few.count(2) == 100 and left.count(1) < 30 < few.count(1)
 
 
+def test_lines_of_repeated_shingles_are_told_apart_by_their_sets(spark, monkeypatch):
+    # forty lines that share a passage of two shingles, a thousand times over, and have a hundred characters of their own, in one bucket; two are alike
+    random.seed(31)
+    own = ["".join(random.choices("abcdefghijklmnop", k=100)) for _ in range(40)]
+    texts = {k: t + "-+" * 1000 for k, t in enumerate([*own, own[0][5:]])}
+    frame = common.cut(spark.createDataFrame([(k, None, t) for k, t in texts.items()], "id long, n long, item string"), "items")
+    members = spark.createDataFrame([(7 << 40, k, 0, len(texts)) for k in texts], "key long, id long, sk long, m long")
+    rows, linked = [], links.linked
+
+    def counted(pairs, *rest):
+        rows.append(pairs.count())
+        return linked(pairs, *rest)
+
+    monkeypatch.setattr(links, "linked", counted)
+    monkeypatch.setattr(links, "ROUNDS", 1)
+    got = links.group(members, lambda ids: frame.join(ids, "id"), lines.shingles, 80, (15, 4, 0), lines.elements, lines.WORDS)
+    got = {r.id: r.component for r in got.collect()}
+    assert {k: got.get(k, k) for k in texts} == groups({k: plain(t) for k, t in texts.items()}) and got[40] == 0
+    assert rows[-1] < 5
+
+
 def test_freed_memory_goes_back(spark):
     """What the driver's Python has freed, and the C library keeps under a block in use, goes back to the system; its JVM is asked for the same."""
     import ctypes
