@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from grainmill.functions import bpe
 from grainmill.functions import columns as C
 from grainmill.operators import decoder, monitor, packing, runs, scoring
+from grainmill.plans import catalog
 from grainmill.sources import corpus as source
 from grainmill.sources import sinks
 
@@ -55,6 +56,29 @@ def test_records_count_raw_rows_and_resume(spark, tmp_path):
         source.shards(names, "test")
 
 
+def test_a_folder_of_files_is_one_shard(spark, tmp_path):
+    folder = tmp_path / "a b" / "documents.parquet"
+    folder.mkdir(parents=True)
+    for k, texts in enumerate((["a", None, "b"], [""], ["c", "d"])):
+        pq.write_table(pa.table({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())}), folder / f"part-{k}.parquet", row_group_size=2)
+
+    def got(*a, **b):
+        return [(r.shard, r.row, r.text) for r in source.records(spark, [str(folder)], *a, **b).orderBy("row").collect()]
+
+    assert got() == [(0, 1, "a"), (0, 3, "b"), (0, 5, "c"), (0, 6, "d")]
+    assert got((0, 3)) == [(0, 5, "c"), (0, 6, "d")] and got((0, 5)) == [(0, 6, "d")] and got((0, 6)) == [] and got((1, 0)) == []
+    assert [r for _, r, _ in got(blank=True)] == [1, 2, 3, 4, 5, 6]
+    for name, after in (("records_with_cursor", 0), ("texts", 0), ("resume_scan", 500)):
+        assert catalog.QUERIES[name](spark, str(folder.parent)).count() == max(0, 6 - after)
+
+
+def test_bits_per_byte_of_empty_texts(spark, tmp_path):
+    rows = {"doc_id": [0, 1, 2, 3], "text": ["", "", None, "ab"], "n_chars": [0, 2, 2, 2]}
+    pq.write_table(pa.table(rows), tmp_path / "documents.parquet")
+    got = [r.bits for r in catalog.QUERIES["bits_per_byte"](spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert math.isnan(got[0]) and got[1] == math.inf and got[2] is None and got[3] == round(3.5 / math.log(2), 8)  # as DuckDB divides
+
+
 def test_offsets_span_buckets(spark):
     t = spark.range(20000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 + 1).alias("n"))
     got = {r.doc_id: r.off for r in packing.offsets(t).collect()}
