@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import bpe
 from grainmill.functions import columns as C
-from grainmill.operators import decoder, monitor, packing, runs, scoring
+from grainmill.operators import corpus, decoder, monitor, packing, runs, scoring
 from grainmill.plans import catalog
 from grainmill.sources import corpus as source
 from grainmill.sources import sinks
@@ -162,6 +162,32 @@ def test_merges_on_the_driver_and_as_a_table_are_those_of_brute_force(spark):
     assert bpe.learn({"ab": 1}, 9) == [("a", "b")]
 
 
+def test_merges_of_many_words_on_the_driver(spark, monkeypatch):
+    random.seed(5)
+    counts = {"".join(random.choices("aab\u00e9\U0001f600", k=random.randint(1, 12))): random.randint(1, 4) for _ in range(300)}
+    monkeypatch.setattr(bpe, "ALIKE", 50)  # arrays of one weight, and one of the rest
+    monkeypatch.setattr(bpe, "BLOCK", 100)
+    assert bpe.WORDS >= 10_000_000  # a vocabulary of 2,000,000 words took some hundred distributed rounds
+    frame = spark.createDataFrame(list(counts.items()), "word string, n long")
+    assert bpe.learn(counts, 80) == bpe.learn_merges(frame, 80) == slow_merges(counts, 80)
+
+
+def test_words_are_counted_and_encoded_from_texts(spark, monkeypatch):
+    texts = ["One two, ONE", None, "", "\u00e9t\u00e9 \u212aelvin \u0130x", "one_2 x"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(corpus, "HELD", 2)
+    want = Counter(r.w for r in frame.select(F.explode(C.words(F.lower("text"))).alias("w")).collect())
+    assert {r.word: r.n for r in corpus.word_counts(frame).collect()} == want
+    assert bpe.alphabet(frame) == sorted(set("".join(want)))
+    v = bpe.WordVocabulary(["one", "x"])
+    rows = frame.select("doc_id", F.lower("text").alias("text"))
+    words = frame.select("doc_id", C.words(F.lower("text")).alias("words"))
+    got = {r.doc_id: r.ids for r in bpe.encoded(rows, v).collect()}
+    assert got == {r.doc_id: r.ids for r in bpe.encoded(words, v).collect()} and got[0] == [0, 2, 0] and got[1] is None and got[2] == []
+    plan = catalog.QUERIES["word_ids"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan  # JVM patterns took most of the time
+
+
 def test_words_become_ids(spark):
     v = bpe.Vocabulary("ab", [("a", "b"), ("ab", "ab")])
     assert v.encode("ababa") == [v.ids["abab"], v.ids["a"]] and v.encode("xa") == [v.unknown, v.ids["a"]]
