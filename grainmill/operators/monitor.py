@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import SPACE, perplexity
+from ..sources.corpus import SCHEME, plain
 
 METRICS = ("train", "val", "perplexity", "comprehension_sanity")
 _DIGITS = "[0-9]+(_[0-9]+)*"
 _INTEGER = f"^[+-]?{_DIGITS}$"
 _NUMBER = rf"^[+-]?({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
+#: Breaks within what a line feed ends; a return before the feed is part of that break.
+_INNER = r"[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 _BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
@@ -33,13 +37,53 @@ def fields(line: Column) -> Column:
     return F.split(F.regexp_replace(line, f"^[{SPACE}]+|[{SPACE}]+$", ""), f"[{SPACE}]+")
 
 
+def _ends(spark: SparkSession, file: str) -> bool:
+    """Whether a file is empty or ends with a line feed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getFileStatus(path).getLen()
+    if not size:
+        return True
+    data = fs.open(path)
+    try:
+        data.seek(size - 1)
+        return data.read() == 10
+    finally:
+        data.close()
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of a log file, read whole so that an unfinished line is known; none where there is no file yet."""
+    """(line_no, line) of a log: a file, or a folder whose files by name follow each other; none where there is no file yet. The last line of a file is
+    left out unless it ends with a line feed. Files are read in splits; lines are numbered from the lines of the splits before them."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], "line_no int, line string")
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(lines(F.col("value"))).alias("line_no", "line"))
+        return spark.createDataFrame([], "line_no long, line string")
+    text = spark.read.option("lineSep", "\n").text(path)
+    names = sorted(text.inputFiles())
+    if not names:
+        return spark.createDataFrame([], "line_no long, line string")
+    text = text.select("value", plain(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i"))
+    breaks = text.where(F.col("value").rlike(_INNER)).isEmpty()
+    # where a line feed is the only break, a row is a line; else a row's lines are those that breaks part in it
+    each = F.array("value") if breaks else F.split("value", _INNER, -1)
+    closed = F.array("value") if breaks else F.split(F.regexp_replace("value", r"\r\z", ""), _INNER, -1)
+    rows = text.withColumn("own", closed)
+    open_ = [re.sub(SCHEME, r"\1:/", n) for n in names if not _ends(spark, n)]
+    if open_:
+        last = rows.where(F.col("file").isin(open_)).groupBy("file").agg(F.max(F.struct("at", "i")).alias("z")).select(F.col("file").alias("f"), F.col("z.at").alias("a"), F.col("z.i").alias("k"))
+        rows = rows.join(F.broadcast(last), (F.col("file") == F.col("f")) & (F.col("at") == F.col("a")) & (F.col("i") == F.col("k")), "left")
+        kept = F.slice(each, 1, F.greatest(F.size(each) - 1 - F.when(F.element_at(each, -1) == "", 1).otherwise(0), F.lit(0)))
+        rows = rows.withColumn("own", F.when(F.col("f").isNull(), F.col("own")).otherwise(kept))
+    rows = rows.select("file", "at", "i", "own", F.size("own").alias("n"))
+    sizes = rows.groupBy("file", "at").agg(F.sum("n").alias("c"), F.min("i").alias("first"))
+    # a row for each split
+    before = sizes.select("file", "at", (F.sum("c").over(Window.orderBy("file", "at")) - F.col("c")).alias("base"), "first")
+    rows = rows.join(F.broadcast(before), ["file", "at"])
+    if breaks and not open_:
+        return rows.select((F.col("base") + F.col("i") - F.col("first")).alias("line_no"), F.element_at("own", 1).alias("line"))
+    own = Window.partitionBy("file", "at").orderBy("i")
+    start = F.col("base") + F.sum("n").over(own) - F.col("n")
+    return rows.withColumn("start", start).select("start", F.posexplode("own").alias("k", "line")).select((F.col("start") + F.col("k")).alias("line_no"), "line")
 
 
 def parse(log: DataFrame) -> DataFrame:
@@ -51,7 +95,8 @@ def parse(log: DataFrame) -> DataFrame:
         x = F.get("f", F.lit(at))
         return F.when(x.rlike(pattern), F.replace(x, F.lit("_"), F.lit("")).try_cast(kind))
 
-    f = log.select("line_no", fields(F.col("line")).alias("f"))
+    # a generator's result is bound, so a line is taken apart once
+    f = log.select("line_no", F.explode(F.array(fields(F.col("line")))).alias("f"))
     f = f.select("line_no", number(0, _INTEGER, "long").alias("step"), F.get("f", F.lit(1)).alias("metric"), number(2, _NUMBER, "double").alias("value"), (F.size("f") == 3).alias("three"))
     ok = (F.col("step") >= 0) & F.col("value").isNotNull() & (F.abs("value") != float("inf")) & in_domain(F.col("metric"), F.col("value"))
     status = F.when(~F.col("three"), "invalid").when(~F.col("metric").isin(*METRICS), "unknown").when(F.coalesce(ok, F.lit(False)), "valid").otherwise("invalid")

@@ -25,21 +25,21 @@ def shards(names: list[str], split: str) -> list[str]:
     return own
 
 
-_SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):/*"
+SCHEME = "^([A-Za-z][A-Za-z0-9+.-]*):/*"
 
 
-def _plain(path: Column) -> Column:
+def plain(path: Column) -> Column:
     """A path with one slash after its scheme, as files are named in either way."""
-    return F.regexp_replace(path, _SCHEME, "$1:/")
+    return F.regexp_replace(path, SCHEME, "$1:/")
 
 
 def _parts(spark: SparkSession, folder: str) -> list[tuple[str, int, int]]:
     """(file, rows before it, its rows) of a folder's files by name: the rows of a table that is a folder, in the order they were written. Only footers are read."""
     rows = spark.read.parquet(folder)
-    counts = {r.file: r.n for r in rows.select(_plain(F.col("_metadata.file_path")).alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r.file: r.n for r in rows.select(plain(F.col("_metadata.file_path")).alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}
     out, before = [], 0
     for name in sorted(rows.inputFiles()):
-        n = counts.get(re.sub(_SCHEME, r"\1:/", name), 0)
+        n = counts.get(re.sub(SCHEME, r"\1:/", name), 0)
         out.append((name, before, n))
         before += n
     return out
@@ -69,8 +69,8 @@ def records(spark: SparkSession, paths: list[str], after: tuple[int, int] = (0,
     if not rest:
         return spark.createDataFrame([], "shard int, row long, text string")
     names = {(x, k, before) for _, both, k, before in rest for x in both}
-    table = spark.createDataFrame(sorted(names), "file string, shard int, before long").select(_plain(F.col("file")).alias("file"), "shard", "before").distinct()
-    rows = spark.read.parquet(*(p for p, _, _, _ in rest)).select(_plain(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("at"), "text")
+    table = spark.createDataFrame(sorted(names), "file string, shard int, before long").select(plain(F.col("file")).alias("file"), "shard", "before").distinct()
+    rows = spark.read.parquet(*(p for p, _, _, _ in rest)).select(plain(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("at"), "text")
     rows = rows.join(F.broadcast(table), "file").select("shard", (F.col("before") + F.col("at") + 1).alias("row"), "text")
     if after[1]:
         rows = rows.where((F.col("shard") > after[0]) | (F.col("row") > after[1]))

@@ -72,6 +72,27 @@ def test_a_folder_of_files_is_one_shard(spark, tmp_path):
         assert catalog.QUERIES[name](spark, str(folder.parent)).count() == max(0, 6 - after)
 
 
+def test_logs_of_any_breaks_are_read_in_splits(spark, tmp_path):
+    folder = tmp_path / "a log"
+    folder.mkdir()
+    texts = ["a\r\nb\u2028c\n\nd\r\re\n", "", "f\ng", "h\x0b", "i\rj\x85", "\n\r\n", "k\x1cl\nm\r", "end\n" * 50]
+    for k, x in enumerate(texts):
+        (folder / f"part-{k}").write_bytes(x.encode())
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    want = [x for r in frame.select("k", monitor.lines(F.col("t")).alias("x")).orderBy("k").collect() for x in r.x]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7")
+    try:
+        got = monitor.read_log(spark, str(folder)).orderBy("line_no").collect()
+        assert [(r.line_no, r.line) for r in got] == list(enumerate(want))
+        plain = folder / "part-7"
+        log = monitor.read_log(spark, str(plain))
+        assert log.rdd.getNumPartitions() > 1  # whole, a log was one task's work
+        assert [(r.line_no, r.line) for r in log.orderBy("line_no").collect()] == [(k, "end") for k in range(50)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_bits_per_byte_of_empty_texts(spark, tmp_path):
     rows = {"doc_id": [0, 1, 2, 3], "text": ["", "", None, "ab"], "n_chars": [0, 2, 2, 2]}
     pq.write_table(pa.table(rows), tmp_path / "documents.parquet")
