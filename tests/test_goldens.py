@@ -93,6 +93,21 @@ def test_logs_of_any_breaks_are_read_in_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_texts_are_scored_by_windows(spark, monkeypatch):
+    model = decoder.Decoder.random(decoder.Shape(vocabulary=256, context=4, layers=1, heads=2, width=4))
+    texts = ["abcdefgh\u00e9x", "", None, "abcd", "a", "abcde", "xyz"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    monkeypatch.setattr(decoder, "TOGETHER", 8)
+    got = {r.id: (r.tokens, r.loss) for r in decoder.scored_texts(frame, model, 4).collect()}
+    assert sorted(got) == [0, 3, 4, 5, 6] and got[4] == (1, None)
+    for k in (0, 3, 5, 6):
+        b = list(texts[k].encode())
+        each = [model.losses(np.array([b[x : x + 4]])).mean() for x in range(0, len(b), 4) if len(b) - x > 1]
+        assert got[k][0] == len(b) and abs(got[k][1] - np.mean(each)) < 1e-9
+    plan = catalog.QUERIES["forward_loss"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "Generate" not in plan  # each byte went through a pattern
+
+
 def test_bits_per_byte_of_empty_texts(spark, tmp_path):
     rows = {"doc_id": [0, 1, 2, 3], "text": ["", "", None, "ab"], "n_chars": [0, 2, 2, 2]}
     pq.write_table(pa.table(rows), tmp_path / "documents.parquet")
